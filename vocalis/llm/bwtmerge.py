@@ -99,7 +99,7 @@ class _Shard:
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (all long) and kept binary.
+    """docs without text_col, with n_bytes, n_removed, n_spans (all long) and kept binary.
 
     A byte goes if a string of `window` bytes that covers it also starts earlier: in a document of smaller
     id, or in the same one before. n_spans counts maximal removed runs; kept is what remains, which may cut
@@ -110,11 +110,11 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if window < 2 * PREFIX:
         raise ValueError(f"window is {window}, {2 * PREFIX} is the least")
-    own = [c for c in docs.columns if c not in ADDED.names and c != "_text"]
+    own = [c for c in docs.columns if c not in (*ADDED.names, "_text", text_col)]
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
     bits = exchange.bucket_bits(docs)
-    in_order = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text")
+    in_order = rows.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text")
     shards = written(exchange.blocks(in_order, SHARD_BYTES, ordered=True), "shards")
 
     def first(table: pa.Table) -> exchange.Question:

@@ -110,8 +110,8 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, window: int, merge: bool) -
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], [*names, "_found"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """docs with n_words long, n_hit long, items array<string>, spans array<struct<start,end>>.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES, keep_text: bool = False) -> DataFrame:
+    """docs (without text_col unless keep_text) with n_words long, n_hit long, items array<string>, spans array<struct<start,end>>.
 
     A window is `window` consecutive words of an item, or all words of a shorter one. A document word
     inside any occurrence of a window is hit; spans are its maximal runs as byte offsets of the UTF-8
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // max_pattern_bytes)) if total > max_pattern_bytes else 1
-    own = [c for c in docs.columns if c not in ADDED.names and c not in ("_text", "_found")]
+    own = [c for c in docs.columns if c not in (*ADDED.names, "_text", "_found") and (keep_text or c != text_col)]
     out = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*out.schema.fields, T.StructField("_found", ADDED)])
     for k in range(parts):

@@ -90,34 +90,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 Question = tuple[np.ndarray, np.ndarray | None]
 
 
-def ask(frame: DataFrame, fn: Callable[[pa.Table], Question], bits: int) -> DataFrame:
-    """The questions of each block: fn gives distinct sorted uint64 hashes and, in their order, 4-byte check hashes or None."""
+def ask(frame: DataFrame, fn: Callable[[pa.Table], Question], bits: int, narrow: bool = False) -> DataFrame:
+    """The questions of each block: fn gives distinct sorted uint64 hashes and, in their order, 4-byte check hashes or None.
+
+    narrow sends only the 32 bits after those that name the bucket; equal answers for colliding hashes must do no harm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                yield asked(block, fn(decode(data.as_py())), bits)
+                yield asked(block, fn(decode(data.as_py())), bits, narrow)
 
     return frame.mapInArrow(run, ASKS)
 
 
-def asked(block: int, question: Question, bits: int) -> pa.RecordBatch:
+def asked(block: int, question: Question, bits: int, narrow: bool = False) -> pa.RecordBatch:
     keys, extra = question
     which, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
     ends = np.append(first[1:], len(keys))
     cut = [(int(a), int(b)) for a, b in zip(first, ends, strict=True)]
+    if narrow:
+        keys = (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
     return pa.RecordBatch.from_arrays(
         [pa.array(which.astype("i4")), pa.array([block] * len(cut), pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([b"" if extra is None else extra[a:b].tobytes() for a, b in cut], pa.binary())],
         ["bucket", "block", "keys", "extra"],
     )
 
 
-def answer(asks: DataFrame, kind: int, earlier: bool = False) -> DataFrame:
+def answer(asks: DataFrame, kind: int, earlier: bool = False, narrow: bool = False) -> DataFrame:
     """For each asked hash one bit: another block asked for it, or with `earlier` a block of a smaller name did."""
 
     def run(table: pa.Table) -> pa.Table:
         owners = table.column("block").to_pylist()
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        parts = [np.frombuffer(x.as_py(), np.uint32 if narrow else np.uint64) for x in table.column("keys")]
         checks = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("extra")]
         sizes = [len(x) for x in parts]
         keys = np.concatenate(parts)

@@ -162,15 +162,16 @@ class _Block:
         return np.cumsum(cover[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """docs with n_words long, n_removed long and kept_text string (kept words joined by one space).
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, whole_as_is: bool = False) -> DataFrame:
+    """docs without text_col, with n_words long, n_removed long and kept_text string (kept words joined by one space).
 
     Words are runs of anything but ASCII white space. A word goes if a window of `window` consecutive words
     that covers it also starts anywhere else, in the same document too. Null and empty texts have no words;
     a text shorter than a window keeps all; repeated rows remove each other; columns of docs that bear one
-    of the three names are replaced; no rows give no rows. Window equality is decided by 96 hash bits.
+    of the three names are replaced; no rows give no rows. With whole_as_is,
+    a text that loses nothing is returned as it was. Window equality is decided by 96 hash bits.
     """
-    own = [c for c in docs.columns if c not in ADDED.names and c != "_text"]
+    own = [c for c in docs.columns if c not in (*ADDED.names, "_text", text_col)]
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
     bits = exchange.bucket_bits(docs)
@@ -200,6 +201,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
             mine = gone[a:b]
             counts.append(int(mine.sum()))
             texts.append(b" ".join(words if not counts[-1] else [w for w, g in zip(words, mine.tolist(), strict=True) if not g]).decode())
+        if whole_as_is:
+            texts = [t if n else x.as_py() for t, n, x in zip(texts, counts, table.column("_text"), strict=True)]
         more = [pa.array([len(w) for w in block.words], pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())]
         return pa.table([*(table.column(c) for c in own), *more], names=[*own, *ADDED.names])
 
