@@ -4,8 +4,8 @@ Documents with equal shingle sets are one node. Shingles that no other node has
 order of shingles, so a node is settled as soon as they fill its prefix; what is left are nodes made of
 repeated text. These are partitioned into groups by their prefixes. Inside a group, links are verified with
 the group's pivot, then among the members that fail. Across groups, a matrix of prefix shingles by groups
-tells which groups a node may reach at all; of each such block of a group the union of shingles bounds the
-overlap, and only a block that can qualify is opened and verified. Components need no link that joins what
+tells which groups a node may reach at all; of each such block of a group, first counts of shingle classes and
+then the union of shingles bound the overlap, and only a block that can qualify is opened and verified. Components need no link that joins what
 is joined already, so neither stage compares all pairs of a large group.
 """
 
@@ -28,7 +28,9 @@ WORDS, PERCENT = 4, 85
 #: Members of one block of a group.
 GROUP_BLOCK = 256
 
-NODES = "node binary, n long, ids array<long>, prefix array<long>, shingles binary"
+NODES = "node binary, n long, ids array<long>, prefix array<long>, shingles binary, classes binary"
+#: Classes of shingles whose counts bound overlaps before any set is sent.
+CLASSES = 128
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -42,6 +44,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(rolling(names, words, BASES[0]))
 
 
+def class_counts(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("<u4")
+
+
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     """The least overlap with any linked set that a set of n shingles must have."""
     return -(-n * percent // 100)
@@ -130,6 +136,23 @@ def _inside(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], LINKS)
 
 
+def _bounded(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
+    """The queries that may link with a member of the block: class by class, no overlap exceeds the smaller count."""
+    keep: list[int] = []
+    if members.num_rows and queries.num_rows:
+        have = np.frombuffer(b"".join(members.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
+        size, top = have.sum(1), have.max(0)
+        for i, x in enumerate(queries.column("classes")):
+            q = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
+            n = int(q.sum())
+            # First by the whole block, then by its members.
+            if int(np.minimum(q, top).sum()) >= needed(n, percent):
+                bound = np.minimum(np.minimum(have, q).sum(1), np.minimum(size, n))
+                if (100 * bound >= percent * (size + n - bound)).any():
+                    keep.append(i)
+    return queries.select(["node", "label", "part"]).take(pa.array(keep, pa.int64()))
+
+
 def _across(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
     """At most one link from each query to a block of a group whose members are joined already."""
     if not members.num_rows or not queries.num_rows:
@@ -154,6 +177,11 @@ def _in_blocks(members: DataFrame, group: str) -> DataFrame:
     return members.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same columns as new ones, to stand beside others of the same source."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def find_links(left: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links between the nodes (node, n, prefix, shingles)."""
     tokens = left.select("node", F.explode("prefix").alias("token"))
@@ -161,14 +189,13 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     # A group: nodes whose prefixes lead to the same smallest node. A token's nodes may be many: they are met by its one pivot.
     shared = written(tokens.join(pivots.select("token", "pivot"), "token"), "shared")
     group = shared.groupBy("node").agg(F.min("pivot").alias("grp"))
-    members = written(_in_blocks(left.select("node", "n", "shingles").join(group, "node"), "grp"), "members")
-    heads = members.select("grp", "blocks").distinct()
-    pivot_rows = left.select(F.col("node").alias("grp"), "node", "shingles").join(heads, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "node", "shingles", F.lit(True).alias("is_pivot"))
-    own = members.where("node <> grp").select("grp", "part", "node", "shingles", F.lit(False).alias("is_pivot"))
-    first = written(own.unionByName(pivot_rows).groupBy("grp", "part").applyInArrow(lambda t: _inside(t, percent), "a binary, b binary"), "links")
+    members = written(_in_blocks(left.select("node", "n").join(group, "node"), "grp"), "members")
+    heads = members.select("grp", "blocks").distinct().select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("grp").alias("node"), F.lit(True).alias("is_pivot"))
+    placed = members.where("node <> grp").select("grp", "part", "node", F.lit(False).alias("is_pivot")).unionByName(heads)
+    first = written(placed.join(left.select("node", "shingles"), "node").groupBy("grp", "part").applyInArrow(lambda t: _inside(t, percent), "a binary, b binary"), "links")
     labels = components(first)
     # Across: tokens whose nodes have several labels; the smaller side asks the larger one's blocks.
-    labelled = written(_in_blocks(members.select("node", "n", "shingles").join(labels, "node", "left").select("node", "n", "shingles", F.coalesce("component", "node").alias("label")), "label"), "labelled")
+    labelled = written(_in_blocks(members.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("label")), "label"), "labelled")
     matrix = shared.select("token", "node").join(labelled.select("node", "label", "n", "blocks"), "node")
     cells = matrix.groupBy("token", "label").agg(F.max("blocks").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"))
     several = cells.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
@@ -179,9 +206,15 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     pairs = a.join(b, F.col("a.token") == F.col("b.token")).where(smaller & near).select("a.token", F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.col("b.blocks").alias("others"), "b.low", "b.high")
     asks = matrix.select("token", "node", "label", "n").join(pairs, ["token", "label"]).where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
     asks = asks.select("node", "other", "others").distinct().select("node", F.col("other").alias("label"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"))
-    queries = asks.join(labelled.select("node", "shingles"), "node").select("label", "part", "node", "shingles")
-    targets = labelled.select("label", "part", "node", "shingles").join(queries.select("label").distinct(), "label", "left_semi")
-    second = targets.groupBy("label", "part").cogroup(queries.groupBy("label", "part")).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
+    asks = written(asks, "asks")
+    asked = labelled.select("label", "part", "node").join(asks.select("label").distinct(), "label", "left_semi")
+    classes = left.select("node", "classes")
+    qualify = asked.join(classes, "node").groupBy("label", "part").cogroup(_apart(asks.join(classes, "node")).groupBy("label", "part")).applyInArrow(lambda x, y: _bounded(x, y, percent), "node binary, label binary, part int")
+    qualify = written(qualify, "qualify")
+    opened = asked.join(qualify.select("label", "part").distinct(), ["label", "part"], "left_semi")
+    sets = left.select("node", "shingles")
+    targets, queries = opened.join(sets, "node"), qualify.join(sets, "node")
+    second = targets.groupBy("label", "part").cogroup(_apart(queries).groupBy("label", "part")).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
     return first.unionByName(second)
 
 
@@ -209,13 +242,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             room = n - needed(n, percent) + 1 - int((~ours).sum())
             row = {"node": node, "n": n, "ids": block.rows[node]}
             if room > 0:
-                row |= {"prefix": mine[ours][:room].view(np.int64), "shingles": mine.tobytes()}
+                row |= {"prefix": mine[ours][:room].view(np.int64), "shingles": mine.tobytes(), "classes": class_counts(mine).tobytes()}
             out.append(row)
-        return pa.Table.from_pylist(out, pa.schema([("node", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]))
+        return pa.Table.from_pylist(out, pa.schema([("node", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("classes", pa.binary())]))
 
     answers = exchange.answer(exchange.ask(kept, lambda t: (_Block(t, words).tokens()[0], None), bits, narrow=True), 1, narrow=True)
     nodes = written(exchange.with_answers(kept, answers, left, NODES), "nodes")
-    todo = nodes.where("prefix IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
+    todo = nodes.where("prefix IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"), F.first("classes").alias("classes"))
     labels = components(find_links(written(todo, "left"), percent))
     least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.array_min("ids")).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     final = least.select("node", "label").join(least.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("node", "component_id")
