@@ -3,10 +3,11 @@
 Documents in order of their ids are cut into shards. An interval holds all suffixes that begin with the same
 bytes; merging the shards' suffix orders only needs to know which intervals span several suffixes, so the
 interleave is refined in rounds over ever longer common prefixes, and an interval that holds one suffix is
-settled and leaves: (1) 32 bytes, at sampled suffixes alone; (2) at those left, the bytes up to 99 beyond the
-next sampled suffix, which settles all windows that start in between at once; (3) the 100 bytes of every
-window still open. Suffixes are never sorted globally: an interval is named by the hash of its prefix, and
-shards send each distinct name once, with their place in the order, to learn whether an earlier shard has it.
+settled and leaves: (1) 32 bytes, at sampled suffixes alone; (2) at those left, all bytes that the windows
+before the next sampled suffix cover: an equal stretch earlier settles these windows at once, and where an
+interval's stretches are all equal its first one is settled too; (3) the 100 bytes of every window still
+open. Suffixes are never sorted globally: an interval is named by the hash of its prefix, and shards send each
+distinct name once, with their place in the order, to learn whether an earlier shard has it.
 """
 
 from __future__ import annotations
@@ -87,12 +88,28 @@ class _Shard:
         np.add.at(step, unique_at + 1, -1)
         return self._starts(self.window) & (np.cumsum(step[:n]) <= 0)
 
-    def stretches(self, sampled: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled suffixes and their next ones, where all windows that start between the two are open."""
-        a, b = sampled[:-1], sampled[1:]
+    def reaches(self, sampled: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each sampled suffix with open windows before it: the suffix, first start of these windows, whether all are open.
+
+        A window belongs to the next sampled suffix behind its start if it holds that one's prefix; the same
+        window elsewhere belongs to an equal suffix.
+        """
+        if not len(sampled):
+            return sampled, sampled, np.empty(0, bool)
+        doc = np.searchsorted(self.ends, sampled, "right")
+        first = np.maximum(self.starts[doc], sampled - (self.window - PREFIX))
+        first[1:] = np.maximum(first[1:], np.where(doc[1:] == doc[:-1], sampled[:-1], 0))
         total = np.append(0, np.cumsum(is_open))
-        whole = total[b] - total[a] == b - a
-        return a[whole], b[whole]
+        n = total[sampled] - total[first]
+        some = n > 0
+        return sampled[some], first[some], (n == sampled - first)[some]
+
+    def pairs(self, suffix: np.ndarray, first: np.ndarray, whole: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix's name, and that of all bytes the suffix's windows cover; of windows not all open, one like no other."""
+        size = np.where(whole, suffix - first + self.window - 1, 0)
+        covered = Prefixes(self.data, BASES[1], 0x5DEECE66D).at(first, size) + mix(size.astype(np.uint64))
+        single = mix(mix(suffix.astype(np.uint64) + np.uint64(1)) + np.uint64(name))
+        return self.one.at(suffix, PREFIX), np.where(whole, covered, single)
 
     def check(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (Prefixes(self.data, BASES[1], 0x5DEECE66D).at(at, length) >> np.uint64(32)).astype(np.uint32)
@@ -121,37 +138,48 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         s = _Shard(table, window)
         return s.named(s.one.at(s.sampled(), PREFIX))[0], None
 
-    def round_one(table: pa.Table, answers: pa.Table) -> tuple[_Shard, np.ndarray, np.ndarray, np.ndarray]:
+    def round_one(table: pa.Table, answers: pa.Table) -> tuple[_Shard, np.ndarray, np.ndarray]:
         s = _Shard(table, window)
         sampled = s.sampled()
         keys, _, of, count = s.named(s.one.at(sampled, PREFIX))
         shared = (count > 1) | exchange.told(answers, 1, keys, bits)
-        is_open = s.open_windows(sampled[~shared[of]])
-        return s, is_open, *s.stretches(sampled, is_open)
+        return s, sampled, s.open_windows(sampled[~shared[of]])
+
+    def round_two(name: int, table: pa.Table, answers: pa.Table):
+        s, sampled, is_open = round_one(table, answers)
+        suffix, first, whole = s.reaches(sampled, is_open)
+        keys, values = s.pairs(suffix, first, whole, name)
+        order = np.lexsort((suffix, values, keys))
+        k, v = keys[order], values[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])) if len(k) else np.empty(0, bool)
+        return s, is_open, suffix, first, order, new, (k[new], v[new])
 
     def second(name: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        s, _, a, b = round_one(table, answers)
-        size = b - a + window - 1
-        keys, at, _, _ = s.named(s.one.at(a, size))
-        return pa.Table.from_batches([exchange.asked(name, (keys, s.check(a[at], size[at])), bits)])
-
-    def round_two(table: pa.Table, answers: pa.Table) -> tuple[_Shard, np.ndarray, np.ndarray]:
-        s, is_open, a, b = round_one(table, answers)
-        keys, at, of, _ = s.named(s.one.at(a, b - a + window - 1))
-        again = exchange.told(answers, 2, keys, bits)[of] | (at[of] != np.arange(len(a)))
-        step = np.zeros(len(s.data) + 1, np.int64)
-        np.add.at(step, a[again], 1)
-        np.add.at(step, b[again], -1)
-        settled = np.cumsum(step[:-1]) > 0
-        return s, settled, np.flatnonzero(is_open & ~settled)
+        return pa.Table.from_batches([exchange.asked(name, round_two(name, table, answers)[-1], bits)])
+
+    def round_three(name: int, table: pa.Table, answers: pa.Table) -> tuple[_Shard, np.ndarray, np.ndarray]:
+        s, is_open, suffix, first, order, new, (keys, _) = round_two(name, table, answers)
+        got = exchange.told(answers, 2, keys, bits, each=2)[np.cumsum(new) - 1] if len(keys) else np.empty((0, 2), bool)
+        # In document order, an equal stretch before this one in the shard counts as well as one in an earlier shard.
+        again, other = np.empty(len(order), bool), np.empty(len(order), bool)
+        again[order], other[order] = got[:, 0] | ~new, got[:, 1]
+        step = np.zeros((2, len(s.data) + 1), np.int64)
+        np.add.at(step[0], first[again], 1)
+        np.add.at(step[0], suffix[again], -1)
+        # All windows of an interval are alike, and this is the first: nothing earlier has them.
+        alike = ~again & ~other
+        np.add.at(step[1], first[alike], 1)
+        np.add.at(step[1], suffix[alike], -1)
+        settled, sole = np.cumsum(step[:, :-1], 1) > 0
+        return s, settled, np.flatnonzero(is_open & ~settled & ~sole)
 
     def third(name: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        s, _, left = round_two(table, answers)
+        s, _, left = round_three(name, table, answers)
         keys, at, _, _ = s.named(s.one.at(left, window))
         return pa.Table.from_batches([exchange.asked(name, (keys, s.check(left[at], window)), bits)])
 
-    def last(_: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        s, settled, left = round_two(table, answers)
+    def last(name: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+        s, settled, left = round_three(name, table, answers)
         keys, at, of, _ = s.named(s.one.at(left, window))
         again = exchange.told(answers, 3, keys, bits)[of] | (at[of] != np.arange(len(left)))
         step = np.zeros(len(s.data) + 1, np.int64)
@@ -170,7 +198,7 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table([*(table.column(c) for c in own), *more], names=[*own, *ADDED.names])
 
     one = exchange.answer(exchange.ask(shards, first, bits), 1)
-    two = one.unionByName(exchange.answer(exchange.with_answers(shards, one, second, exchange.ASKS), 2, earlier=True))
+    two = one.unionByName(exchange.answer_pairs(exchange.with_answers(shards, one, second, exchange.ASKS), 2))
     three = two.unionByName(exchange.answer(exchange.with_answers(shards, two, third, exchange.ASKS), 3, earlier=True))
     return exchange.with_answers(shards, three, last, schema)
 

@@ -154,16 +154,46 @@ def answer(asks: DataFrame, kind: int, earlier: bool = False, narrow: bool = Fal
     return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
-def told(answers: pa.Table, kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bits for a block's sorted hashes; several blocks of one name (equal rows) have equal answers."""
-    out = np.zeros(len(keys), bool)
+def answer_pairs(asks: DataFrame, kind: int) -> DataFrame:
+    """For each asked (key, value), sorted so in its block, two bits: a block of a smaller name has it; the key has other values anywhere.
+
+    The values are the `extra` of the question, 8 bytes each; pairs are distinct in a block, keys need not be.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        owners = table.column("block").to_pylist()
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        sizes = [len(x) for x in parts]
+        keys, values = np.concatenate(parts), np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("extra")])
+        names = np.unique(np.array(owners, np.int64))
+        of = np.repeat(np.searchsorted(names, owners), sizes)
+        order = np.lexsort((of, values, keys))
+        k, v = keys[order], values[order]
+        new_key = np.append(True, k[1:] != k[:-1])
+        new = new_key | np.append(True, v[1:] != v[:-1])
+        low = of[order][np.flatnonzero(new)]
+        earlier = low[np.cumsum(new) - 1] < of[order]
+        other = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1] > 1
+        bit = np.empty((len(keys), 2), bool)
+        bit[order, 0], bit[order, 1] = earlier, other
+        at = np.cumsum([0, *sizes])
+        bits = [np.packbits(bit[a:b].ravel()).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        n = len(bits)
+        return pa.table([pa.array(owners, pa.int64()), pa.array([kind] * n, pa.int32()), table.column("bucket").cast(pa.int32()), pa.array(bits, pa.binary())], names=["block", "kind", "bucket", "bits"])
+
+    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def told(answers: pa.Table, kind: int, keys: np.ndarray, bits: int, each: int = 1) -> np.ndarray:
+    """The bits for a block's sorted hashes, `each` in a row of the result if more than one."""
+    out = np.zeros(each * len(keys), bool)
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     at = np.concatenate([[0], cuts, [len(keys)]]).astype(int)
     for k, bucket, data in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits"), strict=True):
         if k == kind:
-            a, b = at[bucket], at[bucket + 1]
+            a, b = each * at[bucket], each * at[bucket + 1]
             out[a:b] = np.unpackbits(np.frombuffer(data.as_py(), np.uint8), count=b - a).astype(bool)
-    return out
+    return out if each == 1 else out.reshape(-1, each)
 
 
 def with_answers(frame: DataFrame, answers: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
