@@ -130,9 +130,9 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = [c for c in docs.columns if c not in (*ADDED.names, "_text", text_col)]
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
-    bits = exchange.bucket_bits(docs)
     in_order = rows.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text")
     shards = written(exchange.blocks(in_order, SHARD_BYTES, ordered=True), "shards")
+    bits = exchange.bucket_bits(shards)
 
     def first(table: pa.Table) -> exchange.Question:
         s = _Shard(table, window)

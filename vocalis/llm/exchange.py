@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from vocalis.llm.shared import input_bytes
 
 BLOCK_BYTES = 4 << 20
-#: Input bytes for each bucket, and the least number of buckets for each shuffle partition.
-BUCKET_INPUT, BUCKETS_A_PARTITION = 32 << 20, 2
+#: Bytes of compressed blocks for each bucket: at most, so that it fits in a task, and at least, so that rows between blocks and buckets stay few.
+BUCKET_INPUT, LEAST_INPUT, BUCKETS_A_PARTITION = 32 << 20, 1 << 20, 2
 
 BLOCKS = "block long, data binary"
 ASKS = "bucket int, block long, keys binary, extra binary"
@@ -73,11 +73,12 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES, ordered: bool = False) -> D
     return docs.mapInArrow(lambda b: _blocks(b, size, ordered), BLOCKS)
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """Leading bits that name a bucket, from the input's size and the number of shuffle partitions."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(BUCKETS_A_PARTITION * parts, input_bytes(docs) // BUCKET_INPUT, 1)
-    return max(1, (n - 1).bit_length())
+def bucket_bits(kept: DataFrame) -> int:
+    """Leading bits that name a bucket, from the size of the written blocks and the number of shuffle partitions."""
+    parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(kept)
+    n = max(size // BUCKET_INPUT, min(BUCKETS_A_PARTITION * parts, size // LEAST_INPUT), 1)
+    return min(24, max(1, (n - 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,7 +108,7 @@ def ask(frame: DataFrame, fn: Callable[[pa.Table], Question], bits: int, narrow:
 def asked(block: int, question: Question, bits: int, narrow: bool = False) -> pa.RecordBatch:
     keys, extra = question
     which, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
-    ends = np.append(first[1:], len(keys))
+    ends = np.append(first[1:], len(keys)) if len(keys) else first
     cut = [(int(a), int(b)) for a, b in zip(first, ends, strict=True)]
     if narrow:
         keys = (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)

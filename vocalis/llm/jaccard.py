@@ -227,9 +227,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and is its own component. A null doc_id is larger than any: its component is null only where no
     other id is reached. Repeated rows link with each other; other columns are not read; no rows give no rows.
     """
-    bits = exchange.bucket_bits(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kept = written(exchange.blocks(rows, ordered=True), "blocks")
+    bits = exchange.bucket_bits(kept)
 
     def left(_: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, words)

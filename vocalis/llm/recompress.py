@@ -174,9 +174,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     own = [c for c in docs.columns if c not in (*ADDED.names, "_text", text_col)]
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
-    bits = exchange.bucket_bits(docs)
     # Written once: blocks keep their rows and names in every pass. Names are places, so that equal blocks count twice.
     kept = written(exchange.blocks(rows, ordered=True), "blocks")
+    bits = exchange.bucket_bits(kept)
 
     def first(table: pa.Table) -> exchange.Question:
         return _Block(table, window).symbols(rounds)[0], None

@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes; nothing is read."""
+    """The size of a written table's files, as the optimizer knows it; nothing is read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
