@@ -54,7 +54,7 @@ def class_weights(df: DataFrame, label: str) -> dict[int, float]:
     return {k: n / (2 * v) for k, v in sizes.items()}
 
 
-def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: float = 1.0, steps: int = 60, tolerance: float = 1e-6) -> LinearModel:
+def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: float = 1.0, steps: int = 20, tolerance: float = 1e-6) -> LinearModel:
     """Minimise |w|^2/2 + c * sum of weighted squared hinges, the intercept being regularised like a weight.
 
     Each Newton step is one pass: partitions send their gradient and Hessian (columns squared), never rows.
