@@ -193,17 +193,23 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     heads = members.select("grp", "blocks").distinct().select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("grp").alias("node"), F.lit(True).alias("is_pivot"))
     placed = members.where("node <> grp").select("grp", "part", "node", F.lit(False).alias("is_pivot")).unionByName(heads)
     first = written(placed.join(left.select("node", "shingles"), "node").groupBy("grp", "part").applyInArrow(lambda t: _inside(t, percent), "a binary, b binary"), "links")
+    # Groups of several blocks are dealt anew, so that what their blocks hold apart meets.
+    anew = members.where("blocks > 1").select("grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("part"), "node", F.lit(False).alias("is_pivot"))
+    mixed = anew.join(left.select("node", "shingles"), "node").groupBy("grp", "part").applyInArrow(lambda t: _inside(t, percent), "a binary, b binary")
+    first = written(first.unionByName(mixed), "links")
     labels = components(first)
     # Across: tokens whose nodes have several labels; the smaller side asks the larger one's blocks.
-    labelled = written(_in_blocks(members.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("label")), "label"), "labelled")
-    matrix = shared.select("token", "node").join(labelled.select("node", "label", "n", "blocks"), "node")
-    cells = matrix.groupBy("token", "label").agg(F.max("blocks").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"))
+    labelled = written(_in_blocks(members.select("node", "n", "grp", (F.col("blocks") == 1).alias("complete")).join(labels, "node", "left").select("node", "n", "grp", "complete", F.coalesce("component", "node").alias("label")), "label"), "labelled")
+    matrix = shared.select("token", "node").join(labelled.select("node", "label", "n", "blocks", "grp", "complete"), "node")
+    cells = matrix.groupBy("token", "label").agg(F.max("blocks").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("complete").alias("complete"))
     several = cells.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     cells = written(cells.join(several, "token"), "cells")
     a, b = cells.alias("a"), cells.alias("b")
     smaller = F.struct("a.blocks", "a.label") < F.struct("b.blocks", "b.label")
     near = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where(smaller & near).select("a.token", F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.col("b.blocks").alias("others"), "b.low", "b.high")
+    # Members of a group of one block have been compared already.
+    met = F.col("a.complete") & (F.col("a.g0") == F.col("a.g1")) & (F.col("b.g0") == F.col("b.g1")) & (F.col("a.g0") == F.col("b.g0"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & near & ~met).select("a.token", F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.col("b.blocks").alias("others"), "b.low", "b.high")
     asks = matrix.select("token", "node", "label", "n").join(pairs, ["token", "label"]).where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
     asks = asks.select("node", "other", "others").distinct().select("node", F.col("other").alias("label"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"))
     asks = written(asks, "asks")
