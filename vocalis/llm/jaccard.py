@@ -3,10 +3,11 @@
 Documents with equal shingle sets are one node. Shingles that no other node has come first in the global
 order of shingles, so a node is settled as soon as they fill its prefix; what is left are nodes made of
 repeated text. These are partitioned into groups by their prefixes. Inside a group, links are verified with
-the group's pivot, then among the members that fail. Across groups, a matrix of prefix shingles by groups
+the group's pivot, then among the members that fail. What is joined by then and fills a block is a group of its
+own; the rest stay with their first group. Across groups, a matrix of prefix shingles by groups
 tells which groups a node may reach at all; of each such block of a group, first counts of shingle classes and
-then the union of shingles bound the overlap, and only a block that can qualify is opened and verified. Components need no link that joins what
-is joined already, so neither stage compares all pairs of a large group.
+then the union of shingles bound the overlap, and only a block that can qualify is opened and verified. Components
+need no link that joins what is joined already, so neither stage compares all pairs of a large group.
 """
 
 from __future__ import annotations
@@ -107,6 +108,27 @@ class _Joined:
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+class _Overlaps:
+    """Sets by shingle, to count what each has in common with another."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        token, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(token, kind="stable")
+        self.token, self.of = token[order], of[order]
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Which sets link with s."""
+        a, b = np.searchsorted(self.token, s, "left"), np.searchsorted(self.token, s, "right")
+        size = b - a
+        if int((size > 0).sum()) < needed(len(s), percent):
+            # Not even the union of all sets has enough of s.
+            return np.empty(0, np.int64)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+        common = np.bincount(self.of[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(s) - common))
+
+
 def _inside(table: pa.Table, percent: int) -> pa.Table:
     """Links that span a group block's components: with the pivot, then among those without a link to it."""
     nodes, sets = table.column("node").to_pylist(), _sets(table.column("shingles"))
@@ -120,54 +142,44 @@ def _inside(table: pa.Table, percent: int) -> pa.Table:
         else:
             rest.append(i)
     if rest:
-        sizes = np.array([len(s) for s in sets])
-        token = np.concatenate(sets)
-        of = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(token, kind="stable")
-        token, of = token[order], of[order]
+        overlaps = _Overlaps(sets)
         for i in rest:
-            a, b = np.searchsorted(token, sets[i], "left"), np.searchsorted(token, sets[i], "right")
-            size = b - a
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-            common = np.bincount(of[at], minlength=len(sets))
-            for j in np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common)).tolist():
+            for j in overlaps.linked(sets[i], percent).tolist():
                 if j != i and joined.join(i, j):
                     out.append((nodes[i], nodes[j]))
     return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], LINKS)
 
 
 def _bounded(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
-    """The queries that may link with a member of the block: class by class, no overlap exceeds the smaller count."""
+    """The queries that may link with a member of another label: class by class, no overlap exceeds the smaller count."""
     keep: list[int] = []
     if members.num_rows and queries.num_rows:
         have = np.frombuffer(b"".join(members.column("classes").to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64)
+        labels = np.array(members.column("label").to_pylist(), object)
         size, top = have.sum(1), have.max(0)
-        for i, x in enumerate(queries.column("classes")):
+        for i, (x, label) in enumerate(zip(queries.column("classes"), queries.column("label").to_pylist(), strict=True)):
             q = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
             n = int(q.sum())
             # First by the whole block, then by its members.
             if int(np.minimum(q, top).sum()) >= needed(n, percent):
                 bound = np.minimum(np.minimum(have, q).sum(1), np.minimum(size, n))
-                if (100 * bound >= percent * (size + n - bound)).any():
+                if ((100 * bound >= percent * (size + n - bound)) & (labels != label)).any():
                     keep.append(i)
-    return queries.select(["node", "label", "part"]).take(pa.array(keep, pa.int64()))
+    return queries.select(["node", "label", "cell", "part"]).take(pa.array(keep, pa.int64()))
 
 
 def _across(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
-    """At most one link from each query to a block of a group whose members are joined already."""
+    """Links that join the labels of a block's members and of the queries as all links between them do."""
     if not members.num_rows or not queries.num_rows:
         return LINKS.empty_table()
-    names, sets = members.column("node").to_pylist(), _sets(members.column("shingles"))
-    union = np.unique(np.concatenate(sets))
-    out = []
-    for q, mine in zip(queries.column("node").to_pylist(), _sets(queries.column("shingles")), strict=True):
-        at = np.searchsorted(union, mine)
-        bound = int((union[np.minimum(at, len(union) - 1)] == mine).sum())
-        if bound >= needed(len(mine), percent):
-            for y, other in zip(names, sets, strict=True):
-                if linked(mine, other, percent):
-                    out.append((q, y))
-                    break
+    names, labels, overlaps = members.column("node").to_pylist(), members.column("label").to_pylist(), _Overlaps(_sets(members.column("shingles")))
+    asking = queries.column("label").to_pylist()
+    place = {x: i for i, x in enumerate(dict.fromkeys(labels + asking))}
+    joined, out = _Joined(len(place)), []
+    for q, label, mine in zip(queries.column("node").to_pylist(), asking, _sets(queries.column("shingles")), strict=True):
+        for j in overlaps.linked(mine, percent).tolist():
+            if joined.join(place[label], place[labels[j]]):
+                out.append((q, names[j]))
     return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], LINKS)
 
 
@@ -198,29 +210,33 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     mixed = anew.join(left.select("node", "shingles"), "node").groupBy("grp", "part").applyInArrow(lambda t: _inside(t, percent), "a binary, b binary")
     first = written(first.unionByName(mixed), "links")
     labels = components(first)
-    # Across: tokens whose nodes have several labels; the smaller side asks the larger one's blocks.
-    labelled = written(_in_blocks(members.select("node", "n", "grp", (F.col("blocks") == 1).alias("complete")).join(labels, "node", "left").select("node", "n", "grp", "complete", F.coalesce("component", "node").alias("label")), "label"), "labelled")
-    matrix = shared.select("token", "node").join(labelled.select("node", "label", "n", "blocks", "grp", "complete"), "node")
-    cells = matrix.groupBy("token", "label").agg(F.max("blocks").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("complete").alias("complete"))
-    several = cells.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    # Groups from here on, as cells: a label that fills a block, or what is left of a group.
+    named = members.select("node", "n", "grp", (F.col("blocks") == 1).alias("complete")).join(labels, "node", "left").select("node", "n", "grp", "complete", F.coalesce("component", "node").alias("label"))
+    large = labels.groupBy(F.col("component").alias("label")).count().where(F.col("count") >= GROUP_BLOCK).select("label", F.col("label").alias("own"))
+    labelled = written(_in_blocks(named.join(large, "label", "left").select("node", "n", "grp", "complete", "label", F.coalesce("own", "grp").alias("cell")), "cell"), "labelled")
+    # Across: tokens whose nodes have several labels; the smaller cell asks the larger one's blocks, a cell also its own.
+    matrix = shared.select("token", "node").join(labelled, "node")
+    cells = matrix.groupBy("token", "cell").agg(F.max("blocks").alias("blocks"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("complete").alias("complete"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    several = cells.groupBy("token").agg(F.min("l0").alias("x"), F.max("l1").alias("y")).where("x <> y").select("token")
     cells = written(cells.join(several, "token"), "cells")
     a, b = cells.alias("a"), cells.alias("b")
-    smaller = F.struct("a.blocks", "a.label") < F.struct("b.blocks", "b.label")
+    smaller = F.struct("a.blocks", "a.cell") <= F.struct("b.blocks", "b.cell")
     near = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
-    # Members of a group of one block have been compared already.
+    # Members of a group of one block have been compared already, those of one label are joined.
     met = F.col("a.complete") & (F.col("a.g0") == F.col("a.g1")) & (F.col("b.g0") == F.col("b.g1")) & (F.col("a.g0") == F.col("b.g0"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & near & ~met).select("a.token", F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.col("b.blocks").alias("others"), "b.low", "b.high")
-    asks = matrix.select("token", "node", "label", "n").join(pairs, ["token", "label"]).where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
-    asks = asks.select("node", "other", "others").distinct().select("node", F.col("other").alias("label"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"))
-    asks = written(asks, "asks")
-    asked = labelled.select("label", "part", "node").join(asks.select("label").distinct(), "label", "left_semi")
+    joined = (F.col("a.l0") == F.col("a.l1")) & (F.col("b.l0") == F.col("b.l1")) & (F.col("a.l0") == F.col("b.l0"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & near & ~met & ~joined).select("a.token", F.col("a.cell").alias("cell"), F.col("b.cell").alias("other"), F.col("b.blocks").alias("others"), "b.low", "b.high")
+    asks = matrix.select("token", "node", "label", "cell", "n", F.col("part").alias("mine")).join(pairs, ["token", "cell"]).where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
+    asks = asks.select("node", "label", "other", "others", F.when(F.col("cell") == F.col("other"), F.col("mine")).otherwise(0).alias("first")).distinct()
+    asks = written(asks.select("node", "label", F.col("other").alias("cell"), F.explode(F.sequence("first", F.col("others") - 1)).alias("part")), "asks")
+    asked = labelled.select("cell", "part", "node", "label").join(asks.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
     classes = left.select("node", "classes")
-    qualify = asked.join(classes, "node").groupBy("label", "part").cogroup(_apart(asks.join(classes, "node")).groupBy("label", "part")).applyInArrow(lambda x, y: _bounded(x, y, percent), "node binary, label binary, part int")
+    qualify = asked.join(classes, "node").groupBy("cell", "part").cogroup(_apart(asks.join(classes, "node")).groupBy("cell", "part")).applyInArrow(lambda x, y: _bounded(x, y, percent), "node binary, label binary, cell binary, part int")
     qualify = written(qualify, "qualify")
-    opened = asked.join(qualify.select("label", "part").distinct(), ["label", "part"], "left_semi")
+    opened = asked.join(qualify.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
     sets = left.select("node", "shingles")
     targets, queries = opened.join(sets, "node"), qualify.join(sets, "node")
-    second = targets.groupBy("label", "part").cogroup(_apart(queries).groupBy("label", "part")).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
+    second = targets.groupBy("cell", "part").cogroup(_apart(queries).groupBy("cell", "part")).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
     return first.unionByName(second)
 
 
