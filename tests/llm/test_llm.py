@@ -280,6 +280,21 @@ def test_jaccard_links_across_groups(spark, monkeypatch):
     assert key(jaccard.jaccard_components(frame(spark, rows)).collect()) == key(jaccard.brute_force(rows))
 
 
+def test_jaccard_large_group_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 24)
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        w = [f"w{j}" for j in range(110)]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 4, 5, 5, 6, 6])):
+            w[rng.randrange(110)] = f"e{rng.randint(0, 2)}"
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    want = jaccard.brute_force(rows)
+    assert len({c for _, _, c in want}) > 100
+    assert key(jaccard.jaccard_components(frame(spark, rows)).collect()) == key(want)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(60, 32))
