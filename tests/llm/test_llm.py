@@ -312,6 +312,19 @@ def test_vectors_equal_brute_force(spark):
     assert {r.component_id for r in got if r.vec_id is None} == {r.component_id for r in got if r.vec_id == 7}
 
 
+@pytest.mark.parametrize(("common", "nodes"), [(0.0, 20_000), (0.8, 1_000_000), (0.94, 20_000)])
+def test_codes_find_pairs_of_off_centre_vectors(common, nodes):
+    """Any two vectors have a cosine of about `common`, planted pairs one of 0.955."""
+    rng = np.random.default_rng(4)
+    way = rng.normal(size=(4000, 64)) * (np.arange(64) > 0)
+    unit = np.sqrt(common) * np.eye(64)[0] + np.sqrt(1 - common) * way / np.linalg.norm(way, axis=1, keepdims=True)
+    turn = rng.normal(size=unit.shape)
+    turn -= (turn * unit).sum(1, keepdims=True) * unit
+    pairs = 0.955 * unit + np.sqrt(1 - 0.955**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    codes = itq.Codes(unit[:2000], nodes, 0.95)
+    assert (codes(unit) == codes(pairs)).any(1).mean() >= 0.998
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as p
 

@@ -3,8 +3,9 @@
 Vectors are centred, projected on principal axes and turned by learned rotations so that the signs of their
 coordinates are balanced codes; several Hamming tables index substrings of these codes, and the pairs that
 share a bucket of any table are reranked by the cosine of the original vectors in double precision. Vectors
-that are equal are one node. The number of tables follows from the number of nodes, so that a pair at the
-threshold itself is missed by all tables once in a thousand.
+that are equal are one node. The number of tables is raised until the learned codes, measured on sample vectors
+and partners turned to the threshold itself, miss one such pair in a thousand; where that takes too many tables,
+codes get shorter, down to one bucket of all.
 """
 
 from __future__ import annotations
@@ -26,34 +27,67 @@ SAMPLE = 20_000
 ITERATIONS = 30
 #: Expected nodes in a bucket, chance that all tables miss a pair at the threshold, members of one block of a bucket.
 BUCKET, MISS, BLOCK = 32, 0.001, 2048
+#: Pairs of each kind that the misses are measured on, and tables beyond which codes get shorter instead.
+PAIRS, TABLES = 10_000, 128
+
+
+def _at_threshold(unit: np.ndarray, cosine: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and partners at the given cosine: turned in any direction, and towards other vectors of the sample."""
+    own = np.resize(np.arange(len(unit)), PAIRS)
+    left, noise = unit[own], rng.normal(size=(PAIRS, unit.shape[1]))
+    out = []
+    for way in (noise, unit[rng.permutation(own)] - left + 1e-9 * noise):
+        way = way - (way * left).sum(1, keepdims=True) * left
+        right = cosine * left + math.sqrt(1 - cosine * cosine) * way / np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-300)
+        out.append((left, right / np.linalg.norm(right, axis=1, keepdims=True)))
+    return out
 
 
 class Codes:
-    """Learned codes: `tables` substrings of `bits` bits each."""
+    """Learned codes: `tables` substrings of `bits` bits each; without bits, one bucket holds all vectors."""
 
     def __init__(self, sample: np.ndarray, nodes: int, cosine: float, seed: int = 7):
-        dim = sample.shape[1]
         agree = 1 - math.acos(cosine) / math.pi
-        self.bits = min(24, max(4, math.ceil(math.log2(max(1, nodes / BUCKET)))))
-        self.tables = math.ceil(math.log(MISS) / math.log(1 - agree**self.bits))
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.mean = unit.mean(0)
         centred = unit - self.mean
         _, _, axes = np.linalg.svd(centred.T @ centred)
-        projected = centred @ axes.T
-        rng = np.random.default_rng(seed)
-        turns = []
-        for _ in range(math.ceil(self.tables * self.bits / dim)):
-            turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        self._axes, self._projected, self._turns, self._rng = axes, centred @ axes.T, [], np.random.default_rng(seed)
+        pairs = _at_threshold(unit, cosine, np.random.default_rng(seed + 1))
+        for self.bits in range(min(24, max(4, math.ceil(math.log2(max(1, nodes / BUCKET))))), 3, -1):
+            # As many as raw angles ask for; centred vectors lie at wider ones.
+            self.tables = math.ceil(math.log(MISS) / math.log(1 - agree**self.bits))
+            while self.tables <= TABLES and self.tables < 2**self.bits:
+                self._lay()
+                missed = max(self._missed(a, b) for a, b in pairs)
+                if missed <= MISS:
+                    break
+                self.tables = math.ceil(self.tables * min(2, max(1.1, math.log(MISS) / math.log(min(missed, 0.999)))))
+            else:
+                continue
+            break
+        else:
+            self.bits, self.tables = 0, 1
+            self._lay()
+        del self._axes, self._projected, self._turns, self._rng
+
+    def _lay(self) -> None:
+        dim, n = len(self.mean), self.tables * self.bits
+        while len(self._turns) * dim < n:
+            turn = np.linalg.qr(self._rng.normal(size=(dim, dim)))[0]
             for _ in range(ITERATIONS):
-                u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
+                u, _, v = np.linalg.svd(np.sign(self._projected @ turn).T @ self._projected)
                 turn = (u @ v).T
-            turns.append(axes.T @ turn)
-        planes = np.concatenate(turns, 1)[:, : self.tables * self.bits]
+            self._turns.append(self._axes.T @ turn)
+        planes = np.concatenate(self._turns, 1)[:, :n] if n else np.zeros((dim, 0))
         # Neighbouring columns of one rotation belong to different tables, so that each table draws on several.
         self.planes = planes.reshape(dim, self.bits, self.tables).transpose(0, 2, 1).reshape(dim, -1)
         self.offset = self.mean @ self.planes
 
+    def _missed(self, left: np.ndarray, right: np.ndarray) -> float:
+        """Share of the pairs that no table has in one bucket."""
+        return sum(int((self(left[i : i + 1000]) != self(right[i : i + 1000])).all(1).sum()) for i in range(0, len(left), 1000)) / len(left)
+
     def __call__(self, unit: np.ndarray) -> np.ndarray:
         """Vectors by tables: the bucket of each."""
         signs = (unit @ self.planes > self.offset).reshape(len(unit), self.tables, self.bits)
@@ -157,7 +191,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     else:
         nodes = written(known.where(F.length("vec") == size["size"]), "nodes")
         learn = [r["vec"] for r in nodes.orderBy("node").limit(sample).select("vec").collect()]
-        codes = Codes(np.frombuffer(b"".join(map(bytes, learn)), np.float64).reshape(len(learn), -1), size["count"], cosine)
+        codes = Codes(_unit([bytes(x) for x in learn]), size["count"], cosine)
         shared = spark.sparkContext.broadcast(codes)
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
