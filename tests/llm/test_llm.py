@@ -312,6 +312,26 @@ def test_vectors_equal_brute_force(spark):
     assert {r.component_id for r in got if r.vec_id is None} == {r.component_id for r in got if r.vec_id == 7}
 
 
+def test_vectors_of_rarer_lengths_link(spark):
+    """Two lengths with learned codes, one of few vectors: as brute force over each length."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for size, n in ((32, 900), (24, 600), (16, 40)):
+        centre = rng.normal(size=(n // 4, size))
+        rows += [(len(rows) + i, (centre[i % len(centre)] + rng.normal(size=size) * 0.12).tolist()) for i in range(n)]
+    copies = rng.normal(size=24).tolist()
+    rows += [(5000, copies), (5001, copies), (5002, [1.0, 2.0]), (5003, [1.01, 2.0]), (5004, [1.0, -2.0])]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for size in (32, 24, 16):
+        own = [(i, v) for i, v in rows if len(v) == size]
+        x = np.array([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want = int((x @ x.T >= 0.95).sum()) - len(own)
+        assert want > 0 and 0.99 * want <= sum(got[i].n_links for i, _ in own) <= want
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(5000, 5005)] == [(1, 5000, True), (1, 5000, False), (1, 5002, True), (1, 5002, False), (0, 5004, True)]
+
+
 @pytest.mark.parametrize(("common", "nodes"), [(0.0, 20_000), (0.8, 1_000_000), (0.94, 20_000)])
 def test_codes_find_pairs_of_off_centre_vectors(common, nodes):
     """Any two vectors have a cosine of about `common`, planted pairs one of 0.955."""

@@ -3,7 +3,7 @@
 Vectors are centred, projected on principal axes and turned by learned rotations so that the signs of their
 coordinates are balanced codes; several Hamming tables index substrings of these codes, and the pairs that
 share a bucket of any table are reranked by the cosine of the original vectors in double precision. Vectors
-that are equal are one node. The number of tables is raised until the learned codes, measured on sample vectors
+that are equal are one node. Vectors of each length have codes and buckets of their own. The number of tables is raised until the learned codes, measured on sample vectors
 and partners turned to the threshold itself, miss one such pair in a thousand; where that takes too many tables,
 codes get shorter, down to one bucket of all.
 """
@@ -29,6 +29,8 @@ ITERATIONS = 30
 BUCKET, MISS, BLOCK = 32, 0.001, 2048
 #: Pairs of each kind that the misses are measured on, and tables beyond which codes get shorter instead.
 PAIRS, TABLES = 10_000, 128
+#: Nodes of one length up to which they are one bucket, as no code of four bits would be filled.
+FEW = BUCKET << 4
 
 
 def _at_threshold(unit: np.ndarray, cosine: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,12 +132,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _links(table: pa.Table, codes: Codes, cosine: float) -> pa.Table:
+def _links(table: pa.Table, codes: dict[int, Codes], cosine: float) -> pa.Table:
     """Of a bucket's block or pair of blocks: copies linked with each node, and a linked node that leads on to its component here."""
     t, side = table.column("t")[0].as_py(), np.array(table.column("side").to_pylist())
     nodes, copies = table.column("node").to_pylist(), np.array(table.column("copies").to_pylist(), np.int64)
     unit = _unit(table.column("vec").to_pylist())
-    own = codes(unit)
+    known = codes.get(8 * unit.shape[1])
+    own = known(unit) if known else np.zeros((len(unit), 1), np.int64)
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     within = not len(second)
     count = np.zeros(len(nodes), np.int64)
@@ -176,52 +179,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Two vectors link when a table finds them and their cosine is at least `cosine`. n_links counts the other
     rows linked directly, copies included; component_id is the smallest vec_id that links reach, kept marks
-    that one. Null, empty and zero vectors, ones with null or non-finite components, and ones whose length is
-    not the most common one (ties: the smaller) link with nothing. Null ids are larger than any; repeated
-    rows link with each other; other columns are not read; no rows give no rows. The rotation is learned from
-    at most `sample` vectors; every vector is indexed.
+    that one. Null, empty and zero vectors, and ones with null or non-finite components link with nothing;
+    vectors of different lengths do not link with each other. Null ids are larger than any; repeated rows link
+    with each other; other columns are not read; no rows give no rows. The rotations of each length are learned
+    from at most `sample` vectors; every vector is indexed.
     """
     rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>").alias("vec"))
     base = written(rows.mapInArrow(_nodes, "node binary, vec binary, ids array<long>"), "vectors")
     known = base.where("node IS NOT NULL").groupBy("node").agg(F.first("vec").alias("vec"), F.sum(F.size("ids")).alias("copies"))
-    size = known.groupBy(F.length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    nodes = written(known.withColumn("size", F.length("vec")), "nodes")
     spark = vectors.sparkSession
-    if size is None:
-        found = spark.createDataFrame([], "a binary, links long, b binary")
-    else:
-        nodes = written(known.where(F.length("vec") == size["size"]), "nodes")
-        learn = [r["vec"] for r in nodes.orderBy("node").limit(sample).select("vec").collect()]
-        codes = Codes(_unit([bytes(x) for x in learn]), size["count"], cosine)
-        shared = spark.sparkContext.broadcast(codes)
-
-        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    got = shared.value(_unit(batch.column("vec").to_pylist()))
-                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(got.astype("i4")), pa.list_(pa.int32()))], ["node", "codes"])
-
-        cells = nodes.select("node", "vec").mapInArrow(coded, "node binary, codes array<int>").select("node", F.posexplode("codes").alias("t", "bucket"))
-        cells = written(cells, "cells")
-        # A bucket of one node has no pair; a large one is dealt in blocks, each block to meet each other block once.
-        sizes = cells.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        placed = cells.join(sizes, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        placed = placed.select("node", "t", "bucket", "part", meets).select("node", "t", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-        full = placed.join(nodes, "node")
-        found = full.groupBy("t", "bucket", "x", "y").applyInArrow(lambda g: _links(g, shared.value, cosine), "a binary, links long, b binary")
+    codes = {}
+    for row in nodes.groupBy("size").count().where(F.col("count") > FEW).orderBy("size").collect():
+        learn = nodes.where(F.col("size") == row["size"]).orderBy("node").limit(sample).select("vec").collect()
+        codes[row["size"]] = Codes(_unit([bytes(r["vec"]) for r in learn]), row["count"], cosine)
+    shared = spark.sparkContext.broadcast(codes)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.array(batch.column("size").to_pylist(), np.int32)
+            for size in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == size))
+                known = shared.value.get(size)
+                got = known(_unit(part.column("vec").to_pylist())) if known else np.zeros((part.num_rows, 1))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), pa.array(list(got.astype("i4")), pa.list_(pa.int32()))], ["node", "size", "codes"])
+
+    cells = nodes.select("node", "size", "vec").mapInArrow(coded, "node binary, size int, codes array<int>").select("node", "size", F.posexplode("codes").alias("t", "bucket"))
+    cells = written(cells, "cells")
+    # A bucket of one node has no pair; a large one is dealt in blocks, each block to meet each other block once.
+    sizes = cells.groupBy("size", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = cells.join(sizes, ["size", "t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("node", "size", "t", "bucket", "part", meets).select("node", "size", "t", "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    full = placed.join(nodes.drop("size"), "node")
+    found = full.groupBy("size", "t", "bucket", "x", "y").applyInArrow(lambda g: _links(g, shared.value, cosine), "a binary, links long, b binary")
     found = written(found, "links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     each = base.where("node IS NOT NULL").groupBy("node").agg(F.min(F.array_min("ids")).alias("low"), F.sum(F.size("ids")).alias("copies"))
     each = each.join(labels, "node", "left").join(linked, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    if size is not None:
-        odd = F.col("odd")
-        each = each.join(known.select("node", (F.length("vec") != size["size"]).alias("odd")), "node")
-    else:
-        odd = F.lit(False)
     least = each.groupBy("label").agg(F.min("low").alias("component_id"))
-    final = each.join(least, "label").select("node", odd.alias("odd"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    done = base.where("node IS NOT NULL").select("node", "ids").join(final, "node").withColumn("vec_id", F.explode("ids"))
-    done = done.select("vec_id", F.when(F.col("odd"), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(F.col("odd"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = each.join(least, "label").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    done = base.where("node IS NOT NULL").select("node", "ids").join(final, "node").select(F.explode("ids").alias("vec_id"), "n_links", "component_id")
     alone = base.where("node IS NULL").select(F.explode("ids").alias("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
