@@ -50,6 +50,18 @@ def test_split_and_leaks(spark):
     assert "duplicate_audio" in {r.check for r in leakage.report(h, h).collect()}
 
 
+def test_leaks_compare_whole_texts(spark, tmp_path):
+    same, long = "x" * 64, "y" * 300_000
+    texts = [same + "a", same + "b", same + "c", long + "a", long + "b", "copy", "copy", "twin", "twin"]
+    ids = [0, 1, 2, 3, 5, 10, 11, 12, 13]
+    spark.createDataFrame([(i, "s", "en", t) for i, t in zip(ids, texts, strict=True)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.leak_duplicate_hash(spark, str(tmp_path)).collect()
+    assert [(r["size"], r.n_splits, r.examples) for r in got] == [(2, 2, "U00010,U00011")]
+    assert tuple(catalog.leak_within_split_dups(spark, str(tmp_path)).first()) == (1, 1)
+    report = {r.check: r.n for r in catalog.leakage_report(spark, str(tmp_path)).collect()}
+    assert (report["duplicate_audio"], report["duplicates_within_split"]) == (1, 1)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     m = frame(spark)
     got = [sorted(r.utt_id for r in sampling.sample_per_split(m.repartition(n), 7).collect()) for n in (1, 5)]

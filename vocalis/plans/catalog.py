@@ -203,8 +203,8 @@ _U = f"(SELECT printf('U%05d', doc_id % 400) AS utt_id, source AS speaker, lang
 
 
 def _units(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 64).alias("text"))
-    return d.select(F.format_string("U%05d", F.col("doc_id") % 400).alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("source_corpus"), _split().alias("split"), leakage.content_hash(F.col("text").cast("binary")).alias("hash"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return d.select(F.format_string("U%05d", F.col("doc_id") % 400).alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("source_corpus"), _split().alias("split"), F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit("")).alias("hash"))
 
 
 @query(f"SELECT utt_id, count(DISTINCT split) AS n_splits FROM {_U} GROUP BY 1 HAVING count(DISTINCT split) > 1")
