@@ -118,6 +118,22 @@ def test_qc_features_and_model_end_to_end(spark):
     assert models.evaluate(model.score(good), "SVM", "two").first().roc_auc > 0.8
 
 
+def test_classifiers_read_all_components(spark, tmp_path):
+    """Only the last of 20 components tells the labels apart."""
+    rows = [(i, 9 * (i // 4 % 2), [float((i * k) % 7) for k in range(1, 20)] + [float(i // 4 % 2)]) for i in range(160)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.linear_svm(spark, str(tmp_path)).first()
+    assert (got.features, got.accuracy) == ("e20", 1.0)
+
+
+def test_forest_has_the_operators_own_defaults(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "random_forest", lambda df, columns, **more: asked.append((len(columns), more)))
+    monkeypatch.setattr(models, "forest_score", lambda fitted, df: df)
+    monkeypatch.setattr(models, "evaluate", lambda *x: x[-1])
+    assert catalog.random_forest(spark, "/root/testdata/sf0.001") == "e64" and asked == [(64, {})]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, name):
     import duckdb

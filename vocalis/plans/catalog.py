@@ -537,23 +537,27 @@ def feature_vector_92(spark, sf_dir):
     return features.from_samples(x, "vec_id", "x")
 
 
-def _labelled_vectors(spark, sf_dir) -> DataFrame:
+def _labelled_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Rows with a column for each component, as many as the longest embedding has, and those columns."""
     v = table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", (F.col("label") >= 5).cast("int").alias("label_id"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(16)))
+    columns = [f"e{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0])]
+    rows = v.select("vec_id", (F.col("label") >= 5).cast("int").alias("label_id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)))
+    # As they are, but new columns to the optimizer: with 64 aliases under a score the driver ran out of memory (presumably constraint inference).
+    return rows.mapInArrow(lambda batches: batches, rows.schema), columns
 
 
 @query()
 def linear_svm(spark, sf_dir):
-    rows = _labelled_vectors(spark, sf_dir)
+    rows, columns = _labelled_vectors(spark, sf_dir)
     test = rows.where("vec_id % 4 = 0")
-    return models.evaluate(models.linear_svm(rows.where("vec_id % 4 <> 0"), [f"e{i}" for i in range(16)]).score(test), "SVM", "e16")
+    return models.evaluate(models.linear_svm(rows.where("vec_id % 4 <> 0"), columns).score(test), "SVM", f"e{len(columns)}")
 
 
 @query()
 def random_forest(spark, sf_dir):
-    rows = _labelled_vectors(spark, sf_dir)
-    fitted = models.random_forest(rows.where("vec_id % 4 <> 0"), [f"e{i}" for i in range(16)], trees=20, depth=8)
-    return models.evaluate(models.forest_score(fitted, rows.where("vec_id % 4 = 0")), "Random Forest", "e16")
+    rows, columns = _labelled_vectors(spark, sf_dir)
+    fitted = models.random_forest(rows.where("vec_id % 4 <> 0"), columns)
+    return models.evaluate(models.forest_score(fitted, rows.where("vec_id % 4 = 0")), "Random Forest", f"e{len(columns)}")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
