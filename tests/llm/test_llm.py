@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vocalis.llm import bwtmerge, chat, decontaminate, editcount, exchange, html, itq, jaccard, packing, recompress, tokens, toxicity
 
@@ -208,7 +209,31 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
         want.append((doc, len(w), len(hit), len(found), decontaminate.sha256_hex(",".join(sorted(found)).encode()), bool(hit)))
     docs = frame(spark, rows)
     assert key(decontaminate.contamination_digest(decontaminate.find_contamination(docs, bench)).collect()) == key(want)
-    assert key(decontaminate.contamination_digest(decontaminate.find_contamination(docs, bench, max_pattern_bytes=100)).collect()) == key(want)
+    whole = decontaminate.find_contamination(docs, bench)
+    parts = decontaminate.find_contamination(docs, bench, max_pattern_bytes=100)
+    assert key(decontaminate.contamination_digest(parts).collect()) == key(want)
+    assert key(parts.select("doc_id", "spans").collect()) == key(whole.select("doc_id", "spans").collect())
+    clean = decontaminate.find_contamination(docs.withColumn("spans", F.lit(1)), bench, keep_text=True, clean_only=True)
+    assert key(clean.select("doc_id", "text").collect()) == key(r for r, w in zip(rows, want, strict=True) if not w[5])
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+    assert {r.n_hit for r in decontaminate.find_contamination(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_each_benchmark_of_a_session_has_its_own_matcher(spark):
+    docs = spark.createDataFrame([(i, f"zero word{i} one two") for i in range(40)], "doc_id long, text string").repartition(4)
+    for i in range(20):
+        bench = spark.createDataFrame([(f"q{i}", f"word{i} one"), ("r", f"word{i + 15}")], "item_id string, text string")
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_contamination(docs, bench).collect() if r.n_hit}
+        assert got == {i: (2, [f"q{i}"]), i + 15: (1, ["r"])}
+
+
+def test_long_texts_are_scanned_across_slices(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    item = " ".join(words[i] for i in range(190_000, 190_040))
+    n, runs, items = decontaminate.Matcher([("a", item.encode())], 10).find(" ".join(words).encode())
+    assert (n, runs, items) == (400_000, [[190_000, 190_040]], {"a"})
+    assert sum(len(x.split()) for x in decontaminate.slices(" ".join(words).encode(), 1000)) == 400_000
+    assert toxicity.word_counts(" ".join(words + words))["w7".encode()] == 2
 
 
 def test_spans_are_offsets_of_the_original(spark):
@@ -252,11 +277,48 @@ def test_neighbours_are_exact_and_held_out_accuracy(spark):
         return {w: x / n for w, x in v.items()}
 
     vectors = [vector(text[i]) for i in ix.ids.tolist()]
-    for r in got[:10]:
-        if r.doc_id in text:
-            q = vector(text[r.doc_id])
-            best = sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[: len(r.evidence)]
-            assert np.allclose([e.cosine for e in r.evidence], best)
+    for r in got:
+        q = vector(text.get(r.doc_id))
+        best = sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[: model.k]
+        assert np.allclose([e.cosine for e in r.evidence], [x for x in best if x > 0])
+    kept = toxicity.score_documents(docs, model, keep_text=True, evidence=False, clean_only=True)
+    assert kept.columns == ["doc_id", "text", "score", "predicted"]
+    assert key(kept.collect()) == key((r.doc_id, text.get(r.doc_id, "" if r.doc_id == 9001 else None), r.score, 0) for r in got if not r.predicted)
+
+
+def test_block_bounds_keep_most_blocks_shut():
+    """Examples of twelve subjects: exact neighbours from few of the blocks."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.4 else f"s{i % 12}w{rng.randint(0, 80)}" for _ in range(60)) for i in range(900)]
+    counts = [toxicity.word_counts(t) for t in texts]
+    df: dict = {}
+    for c in counts:
+        for w in c:
+            df[w] = df.get(w, 0) + 1
+    index = toxicity.Index([(i, i % 2, c) for i, c in enumerate(counts[:600])], df, 900)
+    idf = dict(zip(index.words, index.word_idf, strict=True))
+
+    def unit(c):
+        v = {w: (1 + np.log(n)) * idf[w] for w, n in c.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [unit(counts[i]) for i in index.ids.tolist()]
+    for c in counts[600:]:
+        _, cosines = index.nearest(c, 31)
+        q = unit(c)
+        assert np.allclose(cosines, sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[:31])
+    assert index.opened < 0.35 * index.offered
+
+
+def test_toxicity_without_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()
+    assert [(r.score, r.predicted, r.evidence) for r in got] == [(0.0, 0, [])] * 2
+    assert toxicity.score_documents(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+    clash = docs.selectExpr("*", "'x' AS score", "7 AS _text", "text AS words")
+    assert toxicity.score_documents(clash, toxicity.fit(docs, labels)).columns == ["doc_id", "words", "score", "predicted", "evidence"]
 
 
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocalis.llm.shared import cache_of
+
 #: Pre-tokens in a leaf when a tree is built.
 LEAF = 64
 CACHE_ENTRIES = 400_000
@@ -49,6 +51,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
+    cache_of("counters", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(path)
     return _COUNTERS[path]

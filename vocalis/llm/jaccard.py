@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.recompress import _NAMES, BASES, rolling
+from vocalis.llm.recompress import BASES, rolling, word_names
 from vocalis.llm.shared import components, written
 
 WORDS, PERCENT = 4, 85
@@ -39,7 +39,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     w = (text or "").encode().lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    names = np.fromiter(map(_NAMES.__getitem__, w), np.uint64, len(w))
+    names = word_names(w)
     if len(w) < words:
         return rolling(mix(names + np.uint64(len(w))), len(w), BASES[1])
     return np.unique(rolling(names, words, BASES[0]))

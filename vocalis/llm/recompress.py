@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.shared import written
+from vocalis.llm.shared import cache_of, written
 
 WINDOW = 35
 ROUNDS = 4
 _FAR = 1 << 40
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 200_000
 
 ADDED = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
@@ -44,6 +44,11 @@ class _Names(dict):
 _NAMES = _Names()
 
 
+def word_names(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(_NAMES.__getitem__, words), np.uint64, len(words))
+
+
 @lru_cache(maxsize=8)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64; n is rounded up by the caller."""
@@ -120,6 +125,7 @@ class _Block:
     """A block's words and what follows from them."""
 
     def __init__(self, table: pa.Table, window: int):
+        cache_of("names", _NAMES.clear)
         self.words = [(x.as_py() or "").encode().split() for x in table.column("_text")]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(sizes)
@@ -127,7 +133,7 @@ class _Block:
         n = int(sizes.sum())
         self.names = np.empty(n, np.uint64)
         for w, a, b in zip(self.words, self.starts.tolist(), self.ends.tolist(), strict=True):
-            self.names[a:b] = np.fromiter(map(_NAMES.__getitem__, w), np.uint64, b - a)
+            self.names[a:b] = word_names(w)
         self.window, self.n = window, n
 
     def symbols(self, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

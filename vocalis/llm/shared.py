@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the cluster names no folder, as in tests.
+#: Caches of this Python worker, by the operator that fills them.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(name: str, clear: Callable[[], None]) -> None:
+    """Called where an operator's work on a partition begins: caches that other operators left in this worker are emptied."""
+    for other in [x for x in _CACHES if x != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear
+
+
+#: Used by a session on this machine alone that names no folder, as in tests.
 _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this driver if the setting is absent."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="vocalis-"))
-    return "file://" + os.path.abspath(_OWN[0])
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="vocalis-"))
+    return _OWN[0]
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read back: its lineage ends there. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        where, files = _at(t.sparkSession, t._written_at)
+        files.delete(where, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -49,6 +79,8 @@ def components(links: DataFrame) -> DataFrame:
         low = labels.join(near, "node").select("node", F.least("component", "m").alias("low"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
         step = written(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("component"), "was"), "labels")
-        labels = step.select("node", "component")
+        drop(labels)
+        labels = step
         if step.where("component <> was").isEmpty():
-            return labels
+            drop(edges)
+            return labels.select("node", "component")

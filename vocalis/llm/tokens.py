@@ -7,8 +7,10 @@ from array import array
 import numpy as np
 import regex
 
+from vocalis.llm.shared import cache_of
+
 #: Entries kept per Python worker in either cache; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
 #: str.split() parts words at these, the tokenizer's own pattern does not.
@@ -99,6 +101,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker and tokenizer file."""
+    cache_of("encoders", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
