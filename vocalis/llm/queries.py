@@ -50,7 +50,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    return toxicity.score_documents(docs, model, evidence=False).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

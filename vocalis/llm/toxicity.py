@@ -2,8 +2,9 @@
 
 A bounded sample of labelled rows becomes examples; everything else covers all documents: document
 frequencies are counted over the whole table, and each whole text is scored. The vector space is that of
-the examples' words. The index lies in blocks of examples with the largest weight of each word in each
-block; a query opens the blocks whose bound can still reach its k nearest, so the k are exact.
+the examples' words. The inverted index lies in blocks of similar examples, with the largest weight of each
+word in each block; a query bounds each block by these alone, opens the few of the largest bounds, and then
+only those blocks whose bound still reaches its k-th nearest so far, so the k are exact.
 """
 
 from __future__ import annotations
@@ -17,16 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalis.llm.decontaminate import normal
+from vocalis.llm.decontaminate import normal, slices
+from vocalis.llm.shared import cache_of
 
 #: The sample's bounds: examples of both labels together, and the UTF-8 bytes of a text that may be one.
 MAX_EXAMPLES, MAX_EXAMPLE_BYTES = 2048, 16384
 NEIGHBOURS = 31
-BLOCK = 32
-#: Words in a larger share of the examples have their postings as a dense array of each block.
-DENSE = 0.05
-#: Queries scored together.
-BATCH = 64
+#: Examples of a block, and blocks opened first for each that the k nearest would fill.
+BLOCK, FIRST = 16, 2
 #: Added to distances before votes are weighted by their inverse.
 NEAREST = 0.05
 
@@ -39,7 +38,10 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def word_counts(text: str | None) -> Counter:
-    return Counter(normal(text).split())
+    out: Counter = Counter()
+    for part in slices(normal(text)):
+        out.update(part.split())
+    return out
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_EXAMPLE_BYTES) -> tuple[list[tuple[int, int, str]], float]:
@@ -72,10 +74,14 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("toxicity", lambda: None)
         known, out = number.value, Counter()
         for batch in batches:
             for x in batch.column(0):
-                out.update(known.keys() & set(normal(x.as_py()).split()))
+                own: set[bytes] = set()
+                for part in slices(normal(x.as_py())):
+                    own |= known.keys() & set(part.split())
+                out.update(own)
         yield pa.RecordBatch.from_arrays([pa.array([known[w] for w in out], pa.int32()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
     got = docs.select(F.col("text").cast("string")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
@@ -84,44 +90,71 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     return df
 
 
+def similar_blocks(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, n_words: int) -> np.ndarray:
+    """The n examples in an order in which each BLOCK of them is alike: halved again and again along the main axis of their vectors."""
+    rng = np.random.default_rng(17)
+    out, todo = [], [(np.arange(n), rows, cols, vals)]
+    while todo:
+        own, r, c, v = todo.pop()
+        if len(own) <= BLOCK:
+            out.append(own)
+            continue
+        _, r = np.unique(r, return_inverse=True)
+        width = int(r.max()) + 1 if len(r) else 0
+        mean = np.bincount(r, v, width) / len(own)
+        at = np.full(n, -1)
+        at[own] = np.arange(len(own))
+        c = at[c]
+        axis = rng.normal(size=len(own))
+        for _ in range(8):
+            # One step of the power iteration on the centred vectors.
+            word = np.bincount(r, v * axis[c], width) - mean * axis.sum()
+            axis = np.bincount(c, v * word[r], len(own)) - mean @ word
+            axis /= np.linalg.norm(axis) or 1.0
+        order = np.argsort(axis, kind="stable")
+        half = max(1, len(own) // 2 // BLOCK) * BLOCK
+        low = np.zeros(len(own), bool)
+        low[order[:half]] = True
+        for side, some in ((order[half:], ~low), (order[:half], low)):
+            mine = some[c]
+            todo.append((own[side], r[mine], own[c[mine]], v[mine]))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 class Index:
-    """Examples as unit TF-IDF vectors: postings by word and example, and the largest weight by word and block."""
+    """Examples as unit TF-IDF vectors: postings by word and block, and the largest weight of each of these."""
 
     def __init__(self, examples: list[tuple[int, int, dict[bytes, int]]], df: dict[bytes, int], n_docs: int):
-        # Examples of like vocabulary share blocks, so that bounds are tight: by their most frequent word.
-        top = Counter()
-        for _, _, tf in examples:
-            top.update(tf.keys())
-        examples = sorted(examples, key=lambda e: (max(e[2], key=lambda w: (e[2][w] * (top[w] > 1), w), default=b""), e[0]))
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], np.int64)
-        self.idf = {w: float(np.log((1 + n_docs) / (1 + n)) + 1) for w, n in df.items()}
         self.words = {w: i for i, w in enumerate(sorted(df))}
+        idf = {w: float(np.log((1 + n_docs) / (1 + n)) + 1) for w, n in df.items()}
+        self.word_idf = np.array([idf[w] for w in self.words], np.float64)
         rows, cols, vals = [], [], []
         for i, (_, _, tf) in enumerate(examples):
-            weights = {w: (1 + np.log(c)) * self.idf[w] for w, c in tf.items()}
+            weights = {w: (1 + np.log(c)) * idf[w] for w, c in tf.items()}
             norm = np.sqrt(sum(v * v for v in weights.values())) or 1.0
-            for w, v in weights.items():
-                rows.append(self.words[w])
-                cols.append(i)
-                vals.append(v / norm)
-        n_words = len(self.words)
+            rows += [self.words[w] for w in weights]
+            cols += [i] * len(weights)
+            vals += [v / norm for v in weights.values()]
         rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, np.float64)
+        order = similar_blocks(rows, cols, vals, len(examples), len(self.words))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids = np.array([examples[i][0] for i in order], np.int64)
+        self.labels = np.array([examples[i][1] for i in order], np.int64)
+        cols = place[cols]
+        by = np.lexsort((cols, rows))
+        rows, self.example, self.weight = rows[by], cols[by].astype(np.int32), vals[by]
         self.n_blocks = -(-len(examples) // BLOCK)
-        held = np.bincount(rows, minlength=n_words)
-        frequent = np.flatnonzero(held > DENSE * max(len(examples), BLOCK))
-        self.dense_of = np.full(n_words, -1, np.int64)
-        self.dense_of[frequent] = np.arange(len(frequent))
-        d = self.dense_of[rows]
-        self.dense = np.zeros((len(frequent), self.n_blocks * BLOCK))
-        self.dense[d[d >= 0], cols[d >= 0]] = vals[d >= 0]
-        self.dense_max = self.dense.reshape(len(frequent), self.n_blocks, BLOCK).max(2) if len(examples) else self.dense
-        rows, cols, vals = rows[d < 0], cols[d < 0], vals[d < 0]
-        order = np.lexsort((cols, rows))
-        self.example, self.weight = cols[order].astype(np.int32), vals[order]
-        self.posting = np.searchsorted(rows[order], np.arange(n_words + 1))
-        self.word_idf = np.array([self.idf[w] for w in sorted(self.words)], np.float64)
-        self.idf = {}
+        # A slot is one word in one block.
+        block = self.example // BLOCK
+        first = np.append(True, (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])) if len(rows) else np.empty(0, bool)
+        at = np.flatnonzero(first)
+        self.slot_start = np.append(at, len(rows)).astype(np.int64)
+        self.slot_block = block[at].astype(np.int32)
+        self.slot_top = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
+        self.slots = np.searchsorted(rows[at], np.arange(len(self.words) + 1))
+        #: Blocks that queries opened, and blocks there were for them.
+        self.opened, self.offered = 0, 0
 
     @staticmethod
     def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,50 +163,48 @@ class Index:
         of = np.repeat(np.arange(len(size)), size)
         return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of], of
 
-    def nearest(self, queries: list[dict[bytes, int]], k: int, without: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the examples of the k largest positive cosines (ties: the earlier in the index) and these cosines.
-
-        Words with few postings come first, in full; the k-th of these partial sums bounds the k-th score
-        from below, and the largest dense weights of a block bound its scores from above. Blocks that no
-        query of the batch can need stay closed. without: the first query skips this example, the next one
-        the next, and so on.
-        """
-        n = self.n_blocks * BLOCK
-        scores, dense, norms = np.zeros((len(queries), n)), np.zeros((len(queries), len(self.dense))), np.zeros(len(queries))
-        for i, tf in enumerate(queries):
-            mine = [(x, c) for x, c in zip(map(self.words.get, tf), tf.values(), strict=True) if x is not None]
-            if not mine:
-                continue
-            word, count = np.array(mine, np.int64).T
-            weight = (1 + np.log(count)) * self.word_idf[word]
-            norms[i] = np.sqrt(weight @ weight)
-            at, of = self._spans(self.posting[word], self.posting[word + 1])
-            scores[i] = np.bincount(self.example[at], self.weight[at] * weight[of], n)
-            d = self.dense_of[word]
-            dense[i, d[d >= 0]] = weight[d >= 0]
-        need = k + (without >= 0)
-        if len(queries) and n and dense.shape[1]:
-            least = np.partition(scores, n - need, 1)[:, n - need] if need < n else np.zeros(len(queries))
-            bound = scores.reshape(len(queries), self.n_blocks, BLOCK).max(2) + dense @ self.dense_max
-            # Rounding may put a bound a hair below a score it bounds.
-            opened = ((bound * (1 + 1e-9) >= least[:, None]) & (bound > 0)).any(0)
-            inside = np.repeat(opened, BLOCK)
-            if inside.all():
-                scores += dense @ self.dense
-            else:
-                scores[:, inside] += dense @ self.dense[:, inside]
-                scores[:, ~inside] = 0
-        out = []
-        for i in range(len(queries)):
-            own = scores[i]
+    def _sum(self, slot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of all examples from these slots."""
+        at, of = self._spans(self.slot_start[slot], self.slot_start[slot + 1])
+        return np.bincount(self.example[at], self.weight[at] * weight[of], self.n_blocks * BLOCK)
+
+    def nearest(self, tf: dict[bytes, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of the k largest positive cosines (ties: the earlier in the index) and these cosines; never the example `without`."""
+        mine = [(x, c) for x, c in zip(map(self.words.get, tf), tf.values(), strict=True) if x is not None]
+        if not mine:
+            return np.empty(0, np.int64), np.empty(0)
+        # Words in one order, so that equal texts have equal sums.
+        word, count = np.array(sorted(mine), np.int64).T
+        weight = (1 + np.log(count)) * self.word_idf[word]
+        slot, of = self._spans(self.slots[word], self.slots[word + 1])
+        slot_weight, block = weight[of], self.slot_block[slot]
+        bound = np.bincount(block, self.slot_top[slot] * slot_weight, self.n_blocks)
+
+        def inside(blocks: np.ndarray) -> np.ndarray:
+            """Scores of the examples of these blocks."""
+            now = np.flatnonzero(blocks[block])
+            return self._sum(slot[now], slot_weight[now])
+
+        self.offered += self.n_blocks
+        few = min(self.n_blocks, FIRST * -(-(k + 1) // BLOCK))
+        opened = np.zeros(self.n_blocks, bool)
+        opened[np.argpartition(-bound, few - 1)[:few]] = True
+        scores = inside(opened)
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
+        # Rounding may put a bound a hair below a score it bounds.
+        more = ~opened & (bound > 0) & (bound * (1 + 1e-9) >= least)
+        if more.any():
+            scores += inside(more)
             if without >= 0:
-                own[without + i] = 0
-            best = np.flatnonzero(own > 0)
-            if len(best) > k:
-                best = np.flatnonzero(own >= np.partition(own, n - k)[n - k])
-            best = best[np.lexsort((best, -own[best]))][:k]
-            out.append((best, np.minimum(own[best] / norms[i], 1.0) if len(best) else np.empty(0)))
-        return out
+                scores[without] = 0
+        self.opened += int(opened.sum() + more.sum())
+        best = np.flatnonzero(scores > 0)
+        if len(best) > k:
+            best = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        best = best[np.lexsort((best, -scores[best]))][:k]
+        return best, np.minimum(scores[best] / np.sqrt(weight @ weight), 1.0)
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float | None:
         """Share of label 1 among the neighbours, each weighted by the inverse of its distance."""
@@ -206,18 +237,18 @@ class Model:
     def __init__(self, index: Index, prior: float, counts: list[dict[bytes, int]], k: int):
         self.index, self.prior, self.k = index, prior, k
         votes, labels = [], []
-        for i in range(0, len(counts), BATCH):
-            for j, found in enumerate(index.nearest(counts[i : i + BATCH], k, without=i), i):
-                v = index.vote(*found)
-                if v is not None:
-                    votes.append(v)
-                    labels.append(int(index.labels[j]))
+        for i, tf in enumerate(counts):
+            v = index.vote(*index.nearest(tf, k, without=i))
+            if v is not None:
+                votes.append(v)
+                labels.append(int(index.labels[i]))
         self.a, self.b = fit_calibration(np.array(votes), np.array(labels), prior)
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        for best, cosines in self.index.nearest([word_counts(x) for x in texts], self.k):
-            v = self.index.vote(best, cosines)
-            yield (self.prior if v is None else float(1 / (1 + np.exp(-np.clip(self.a * v + self.b, -30, 30)))), best, cosines)
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and the neighbours with their cosines."""
+        best, cosines = self.index.nearest(word_counts(text), self.k)
+        v = self.index.vote(best, cosines)
+        return (self.prior if v is None else float(1 / (1 + np.exp(-np.clip(self.a * v + self.b, -30, 30)))), best, cosines)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_EXAMPLE_BYTES, k: int = NEIGHBOURS) -> Model:
@@ -229,30 +260,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     return Model(index, prior, [counts[i] for i in index.ids.tolist()], k)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared, cut: float) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], shared, cut: float, own: list[str], text_col: str, evidence: bool, clean_only: bool) -> Iterator[pa.RecordBatch]:
+    cache_of("toxicity", lambda: None)
     model = shared.value
     ids, labels = model.index.ids, model.index.labels
-    item = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
     for batch in batches:
-        scores, evidence = [], []
-        for i in range(0, batch.num_rows, BATCH):
-            for one, best, cosines in model.score(batch.column("_text").slice(i, BATCH).to_pylist()):
-                scores.append(one)
-                evidence.append([{"doc_id": a, "toxic": b, "cosine": c} for a, b, c in zip(ids[best].tolist(), labels[best].tolist(), cosines.tolist(), strict=True)])
-        names = [n for n in batch.schema.names if n != "_text"]
-        more = [pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(evidence, pa.list_(item))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], [*names, *ADDED.names])
-
-
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5, keep_text: bool = False) -> DataFrame:
-    """docs (without text_col unless keep_text) with score double, predicted int (score >= cut) and evidence array<struct<doc_id,toxic,cosine>>, nearest first.
+        scores, rows, near, cosines = [], [], [], []
+        for i, text in enumerate(batch.column(text_col)):
+            one, best, cosine = model.score(text.as_py())
+            if clean_only and one >= cut:
+                continue
+            rows.append(i)
+            scores.append(one)
+            if evidence:
+                near.append(best)
+                cosines.append(cosine)
+        kept = batch.select(own)
+        kept = kept if len(rows) == batch.num_rows else kept.take(pa.array(rows, pa.int64()))
+        more = [pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())]
+        if evidence:
+            flat = np.concatenate(near) if near else np.empty(0, np.int64)
+            items = pa.StructArray.from_arrays([pa.array(ids[flat]), pa.array(labels[flat].astype("i4")), pa.array(np.concatenate(cosines) if cosines else np.empty(0))], EVIDENCE.elementType.names)
+            more.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, near)]), pa.int32()), items))
+        yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*own, *ADDED.names[: len(more)]])
+
+
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5, keep_text: bool = False, evidence: bool = True, clean_only: bool = False) -> DataFrame:
+    """docs (without text_col unless keep_text) with score double, predicted int (score >= cut) and, if asked for, evidence array<struct<doc_id,toxic,cosine>>, nearest first.
 
     A null or empty text, or one that shares no word with an example, gets the share of label 1 among all
-    rows to learn from and no evidence; without any example all do. Repeated rows are scored alike; columns
-    of docs that bear one of the three names are replaced; no rows give no rows.
+    rows to learn from and no evidence; without any example all do. A text that is itself an example has
+    that example among its neighbours, as a copy of it has; only the calibration leaves it out. Repeated
+    rows are scored alike; long texts are counted in slices; clean_only returns the rows with a score
+    below cut alone; columns of docs that bear one of the three names are replaced; no rows give no rows.
     """
     own = [c for c in docs.columns if c not in (*ADDED.names, "_text") and (keep_text or c != text_col)]
-    rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
+    source = text_col if text_col in own and dict(docs.dtypes)[text_col] == "string" else "_text"
+    rows = docs.select(*own) if source in own else docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
-    return rows.mapInArrow(lambda b: _scored(b, shared, cut), schema)
+    schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields[: 3 if evidence else 2]])
+    return rows.mapInArrow(lambda b: _scored(b, shared, cut, own, source, evidence, clean_only), schema)
