@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled neighbours do not call toxic."""
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_documents(docs, model, keep_text=True, evidence=False, clean_only=True).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     prepare(spark)
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=True, clean_only=True)
+    return found.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
