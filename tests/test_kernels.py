@@ -83,3 +83,61 @@ def test_flac_verbatim_stream():
     info = bytes(10) + ((16000 << 44) | (0 << 41) | (15 << 36) | total).to_bytes(8, "big") + bytes(16)
     x, rate = audio.decode(b"fLaC" + bytes([0x80]) + (34).to_bytes(3, "big") + info + frame)
     assert rate == 16000 and (x[0] * 32768).round().astype(int).tolist() == samples
+
+
+def _predicted_frame(x: np.ndarray, order: int, k: int, parts: int, weights: tuple[int, ...] = (), shift: int = 0) -> bytes:
+    """One mono 16-bit frame with a polynomial predictor of this order, or a linear one with these weights."""
+    bits: list[int] = []
+
+    def put(value: int, n: int) -> None:
+        bits.extend((value >> (n - 1 - i)) & 1 for i in range(n))
+
+    for v, n in ((0b11111111111110, 14), (0, 2), (7, 4), (0, 4), (0, 4), (4, 3), (0, 1), (0, 8), (len(x) - 1, 16), (0, 8), (0, 1), (31 + len(weights) if weights else 8 + order, 6), (0, 1)):
+        put(v, n)
+    for v in x[:order].tolist():
+        put(v & 0xFFFF, 16)
+    if weights:
+        put(12 - 1, 4)
+        put(shift, 5)
+        for w in weights:
+            put(w & 0xFFF, 12)
+        rest = [int(x[i]) - (sum(w * int(x[i - 1 - j]) for j, w in enumerate(weights)) >> shift) for i in range(order, len(x))]
+    else:
+        rest = np.diff(x.astype(np.int64), order).tolist()
+    put(0, 2)
+    put(parts, 4)
+    at = 0
+    for i in range(1 << parts):
+        n = (len(x) >> parts) - (order if i == 0 else 0)
+        put(k, 4)
+        for r in rest[at : at + n]:
+            v = 2 * r if r >= 0 else -2 * r - 1
+            bits.extend([0] * (v >> k) + [1])
+            put(v & ((1 << k) - 1), k)
+        at += n
+    bits.extend([0] * (-len(bits) % 8))
+    put(0, 16)
+    return bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize(("order", "weights", "shift"), [(0, (), 0), (1, (), 0), (2, (), 0), (3, (), 0), (4, (), 0), (1, (900,), 10), (3, (1800, -1100, 250), 10)])
+def test_flac_predictors(order, weights, shift):
+    x = (np.cumsum(np.random.default_rng(order).normal(size=4096)) * 60 + 3000 * np.sin(np.arange(4096) / 9)).round().astype(int)
+    frame = _predicted_frame(x, order, 7, 2, weights, shift)
+    info = (4096).to_bytes(2, "big") * 2 + bytes(6) + ((16000 << 44) | (15 << 36) | 2 * len(x)).to_bytes(8, "big") + bytes(16)
+    got, _ = audio.decode(b"fLaC" + bytes([0x80]) + (34).to_bytes(3, "big") + info + frame + frame)
+    assert (got[0] * 32768).round().astype(int).tolist() == [*x.tolist(), *x.tolist()]
+
+
+def test_flac_round_trip_and_time():
+    import time
+
+    x = np.random.default_rng(1).normal(size=64000) * 0.1
+    began = time.process_time()
+    got, rate = audio.decode(audio.encode_flac(x, 16000))
+    assert rate == 16000 and got.shape == (1, 64000) and np.abs(got[0] - x).max() < 1e-4
+    assert audio.decode(audio.encode_flac(np.empty(0), 8000))[0].shape == (1, 0)
+    frame = _predicted_frame((x[:4096] * 30000).round().astype(int), 2, 12, 0)
+    info = (4096).to_bytes(2, "big") * 2 + bytes(3) + len(frame).to_bytes(3, "big") + ((16000 << 44) | (15 << 36) | 16 * 4096).to_bytes(8, "big") + bytes(16)
+    assert audio.decode(b"fLaC" + bytes([0x80]) + (34).to_bytes(3, "big") + info + 16 * frame)[0].shape == (1, 65536)
+    assert time.process_time() - began < 2
