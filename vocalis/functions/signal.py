@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, even where body uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def pre_emphasis(x: Column, coefficient: float = 0.97) -> Column:
     """y[0] = x[0], y[n] = x[n] - coefficient * x[n-1]."""
     return F.transform(x, lambda v, i: F.when(i == 0, v).otherwise(v - coefficient * F.get(x, i - 1)))
@@ -27,7 +33,7 @@ def peak(x: Column) -> Column:
 
 def peak_normalize(x: Column, target: float = 1.0, eps: float = 1e-9) -> Column:
     """Scaled to the target peak; a signal below eps stays."""
-    return F.when(peak(x) < eps, x).otherwise(F.transform(x, lambda v: v * target / peak(x)))
+    return bound(peak(x), lambda top: F.when(top < eps, x).otherwise(F.transform(x, lambda v: v * target / top)))
 
 
 def fix_length(x: Column, length: int, pad: str = "repeat", start: Column | int = 0) -> Column:
@@ -82,8 +88,12 @@ def rms_dbfs(x: Column) -> Column:
 
 def zero_crossings(x: Column, threshold: float = 1e-10) -> Column:
     """Sign changes between neighbours; values within the threshold count as positive."""
-    negative = F.transform(x, lambda v: F.when(F.abs(v) <= threshold, False).otherwise(v < 0))
-    return F.aggregate(F.transform(negative, lambda v, i: F.when((i > 0) & (v != F.get(negative, i - 1)), 1).otherwise(0)), F.lit(0), lambda a, v: a + v)
+    def step(a: Column, v: Column) -> Column:
+        negative = ~(F.abs(v) <= threshold) & (v < 0)
+        return F.struct((a["n"] + F.when(a["last"] != negative, 1).otherwise(0)).alias("n"), negative.alias("last"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("boolean").alias("last"))
+    return F.aggregate(x, start, step, lambda a: a["n"])
 
 
 def magnitudes(x: Column, n: int) -> Column:
@@ -108,5 +118,13 @@ def bandwidth(m: Column, c: Column, step: float) -> Column:
 
 def rolloff_bin(m: Column, share: float = 0.85) -> Column:
     """First bin whose running sum reaches the share of the total."""
-    running = F.transform(m, lambda v, k: total(F.slice(m, F.lit(1), k + 1)))
-    return F.array_position(F.transform(running, lambda v: v >= share * total(m)), True).cast("int") - 1
+    def walk(target: Column) -> Column:
+        def step(a: Column, v: Column) -> Column:
+            so_far = a["sum"] + v
+            return F.struct(so_far.alias("sum"), (a["bin"] + F.when(so_far >= target, 0).otherwise(1)).alias("bin"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("bin"))
+        # Magnitudes are not negative, so once the sum is there it stays.
+        return F.aggregate(m, start, step, lambda a: F.when(a["bin"] < F.size(m), a["bin"]).otherwise(-1))
+
+    return bound(share * total(m), walk)

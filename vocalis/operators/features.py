@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ def _table(meta: pd.DataFrame, vectors: list[np.ndarray | None], errors: list[st
     return pd.concat([meta.reset_index(drop=True), pd.DataFrame(values, columns=list(FEATURES)), pd.Series(errors, name="error", dtype=object)], axis=1)
 
 
-def extract(manifest: DataFrame, files: DataFrame, length: int = 64000) -> DataFrame:
-    """Feature rows with `error`: null for good rows, else the reason and no features. files: (path, content)."""
+def extract(manifest: DataFrame, files: DataFrame, length: int = 64000, crop_seed: int | None = None) -> DataFrame:
+    """Feature rows with `error`: null for good rows, else the reason and no features. files: (path, content). With crop_seed long signals are cropped at random."""
     joined = manifest.join(files.select("path", "content"), "path", "left").select(*FEATURE_META, "path", "content")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,11 +31,13 @@ def extract(manifest: DataFrame, files: DataFrame, length: int = 64000) -> DataF
 
         for p in parts:
             vectors, errors = [], []
-            for content, path in zip(p["content"], p["path"], strict=True):
+            for content, path, utt in zip(p["content"], p["path"], p["utt_id"], strict=True):
                 try:
                     if content is None:
                         raise RuntimeError(f"no such file: {path}")
-                    vectors.append(kernels.feature_vector(kernels.preprocess(load(content, path), length)))
+                    # A random crop depends on the seed and the utterance alone.
+                    rng = None if crop_seed is None else np.random.default_rng([crop_seed, zlib.crc32(str(utt).encode())])
+                    vectors.append(kernels.feature_vector(kernels.preprocess(load(content, path), length, rng=rng)))
                     errors.append(None)
                 except (RuntimeError, ValueError) as e:
                     vectors.append(None)
@@ -44,6 +47,11 @@ def extract(manifest: DataFrame, files: DataFrame, length: int = 64000) -> DataF
     return joined.mapInPandas(rows, SCHEMA)
 
 
+def progress(features: DataFrame) -> DataFrame:
+    """One row: n_processed and n_total."""
+    return features.agg(F.count_if(F.col("error").isNull()).alias("n_processed"), F.count("*").alias("n_total"))
+
+
 def good(features: DataFrame) -> DataFrame:
     return features.where("error IS NULL").drop("error")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalis.schemas import UNKNOWN_SPEAKER
 
 HASH_BYTES = 262144
+#: Examples that a check shows, where more than one.
+EXAMPLES = {"utterance_overlap": 5, "speaker_conflict": 5}
 
 
 class LeakageError(AssertionError):
@@ -37,24 +39,42 @@ def speaker_conflicts(manifest: DataFrame, train_splits: tuple[str, ...] = ("tra
 
 def hash_groups(hashed: DataFrame, column: str = "hash") -> DataFrame:
     """Groups of more than one file of equal content, over all or within one split; files without hash are no group."""
-    return hashed.where(F.col(column) != "").groupBy(column).agg(F.count("*").alias("size"), F.countDistinct("split").alias("n_splits"), F.slice(F.sort_array(F.collect_set("utt_id")), 1, 3).alias("examples")).where("size > 1")
+    named = hashed.where(F.col(column) != "")
+    # Ids of a hash are counted up by (hash, split, id) first, so that no task holds all ids of a frequent one.
+    groups = named.groupBy(column).agg(F.count("*").alias("size"), F.countDistinct("split").alias("n_splits")).where("size > 1")
+    return groups.join(least_ids(named, column, 3), column)
+
+
+def least_ids(rows: DataFrame, key: str, n: int, id_col: str = "utt_id") -> DataFrame:
+    """(key, examples): the n smallest distinct ids of each key, kept to n in every partial step."""
+    salted = rows.select(key, F.col(id_col).cast("string").alias("_id")).distinct().withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(64)))
+
+    def least(df: DataFrame, by: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_id"))
+        return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+    few = least(salted, [key, "_salt"])
+    return least(few, [key]).groupBy(key).agg(F.sort_array(F.collect_list("_id")).alias("examples"))
 
 
 def report(manifest: DataFrame, hashed: DataFrame | None = None, train_splits: tuple[str, ...] = ("train",)) -> DataFrame:
     """hashed: manifest rows with `hash`, if contents are to be compared."""
 
-    def part(df: DataFrame, severity: Column, check: str, example: str, n: Column | None = None) -> DataFrame:
-        return df.groupBy(severity.alias("severity")).agg(F.lit(check).alias("check"), (F.count("*") if n is None else n).cast("long").alias("n"), F.array(F.min(example).cast("string")).alias("examples"))
+    def part(df: DataFrame, severity: Column, check: str, example: Column, n: Column | None = None) -> DataFrame:
+        """Counted by severity, with the EXAMPLES[check] smallest examples."""
+        rows = df.withColumns({"severity": severity, "_one": example.cast("string")})
+        totals = rows.groupBy("severity").agg(F.lit(check).alias("check"), (F.count("*") if n is None else n).cast("long").alias("n"))
+        return totals.join(least_ids(rows, "severity", EXAMPLES.get(check, 1), "_one"), "severity").select("severity", "check", "n", "examples")
 
     error, note = F.lit("error"), F.lit("note")
-    out = part(utterance_overlap(manifest), error, "utterance_overlap", "utt_id")
-    out = out.unionByName(part(duplicate_ids(manifest).where("n_duplicates > 0"), error, "duplicate_ids", "n_duplicates", F.sum("n_duplicates")))
-    out = out.unionByName(part(speaker_conflicts(manifest, train_splits), F.col("severity"), "speaker_conflict", "speaker"))
+    out = part(utterance_overlap(manifest), error, "utterance_overlap", F.col("utt_id"))
+    out = out.unionByName(part(duplicate_ids(manifest).where("n_duplicates > 0"), error, "duplicate_ids", F.col("n_duplicates"), F.sum("n_duplicates")))
+    out = out.unionByName(part(speaker_conflicts(manifest, train_splits), F.col("severity"), "speaker_conflict", F.concat(F.col("speaker"), F.lit(": "), F.array_join("splits", ", "))))
     if hashed is not None:
         groups = hash_groups(hashed)
-        out = out.unionByName(part(groups.where("n_splits > 1"), error, "duplicate_audio", "hash"))
-        out = out.unionByName(part(groups.where("n_splits = 1"), note, "duplicates_within_split", "hash", F.sum(F.col("size") - 1)))
-        out = out.unionByName(part(hashed.where("hash = ''"), note, "unreadable", "utt_id"))
+        out = out.unionByName(part(groups.where("n_splits > 1"), error, "duplicate_audio", F.array_join("examples", ", ")))
+        out = out.unionByName(part(groups.where("n_splits = 1"), note, "duplicates_within_split", F.array_join("examples", ", "), F.sum(F.col("size") - 1)))
+        out = out.unionByName(part(hashed.where("hash = ''"), note, "unreadable", F.col("utt_id")))
     return out
 
 

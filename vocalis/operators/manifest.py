@@ -67,7 +67,10 @@ def class_balance(manifest: DataFrame) -> DataFrame:
     return out.withColumn("total", total).withColumn("spoof_pct", F.round(F.try_divide(100.0 * F.col("spoof"), total), 1))
 
 
-def attack_by_split(manifest: DataFrame, splits: tuple[str, ...] = ("train", "val", "eval")) -> DataFrame:
+def attack_by_split(manifest: DataFrame, splits: tuple[str, ...] | None = None) -> DataFrame:
+    """Utterances by attack, a column for each split: the named ones, or all there are."""
+    if splits is None:
+        splits = tuple(r[0] for r in manifest.select("split").where("split IS NOT NULL").distinct().orderBy("split").collect())
     return manifest.groupBy("attack").agg(*(F.count_if(F.col("split") == s).alias(s) for s in splits))
 
 
@@ -84,6 +87,25 @@ def summarize(manifest: DataFrame) -> str:
     return "\n".join([*lines, "", "speakers"] + [f"{r.split}: {r.n_speakers}" for r in speakers_per_split(manifest).orderBy("split").collect()])
 
 
+def write(manifest: DataFrame, folder: str, fmt: str = "parquet", hashed: DataFrame | None = None, train_splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """The sinks of a build: <folder>/all, <folder>/by_split partitioned by split, and <folder>/summary as text; the leakage report.
+
+    Leakage errors raise before anything is written.
+    """
+    from vocalis.operators import leakage
+
+    report = leakage.check(manifest, hashed, train_splits)
+    save(manifest, f"{folder.rstrip('/')}/all", fmt)
+    save(manifest, f"{folder.rstrip('/')}/by_split", fmt, by_split=True)
+    write_text(manifest.sparkSession, f"{folder.rstrip('/')}/summary", summarize(manifest))
+    return report
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small report as one text file below path."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Rows whose file is not in the listing."""
     return manifest.join(files.select("path"), "path", "left_anti")

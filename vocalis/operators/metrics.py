@@ -50,12 +50,16 @@ def roc_points(df: DataFrame, label: str = "y", score: str = "score", thinned: b
     """(threshold, tps, fps, tpr, fpr); thinned drops interior points at which neither curve turns."""
     run = _running(by_score(df, label, score), {"pos": "tps", "neg": "fps"})
     totals = run.agg(F.max("tps").alias("_p"), F.max("fps").alias("_n"))
-    points = run.select(F.col("score").alias("threshold"), "tps", "fps", F.col("pos").alias("_dp"), F.col("neg").alias("_dn"))
+    points = run.select("_range", F.col("score").alias("threshold"), "tps", "fps", F.col("pos").alias("_dp"), F.col("neg").alias("_dn"))
     if thinned:
-        # The next lower score's steps; a point stays if its own steps differ from those, or it ends the curve.
-        order = Window.orderBy(F.desc("threshold"))
-        points = points.withColumns({"_np": F.lead("_dp").over(order), "_nn": F.lead("_dn").over(order), "_first": F.row_number().over(order) == 1})
-        points = points.where("_np IS NULL OR _first OR _np <> _dp OR _nn <> _dn")
+        # The next lower score's steps; a point stays if its own steps differ from those, or it ends the curve. Next in the
+        # same range, or the first of the next range: of the ranges, a few hundred, alone there is one order.
+        inside, over = Window.partitionBy("_range").orderBy(F.desc("threshold")), Window.orderBy("_range")
+        firsts = points.groupBy("_range").agg(F.max_by(F.struct("_dp", "_dn"), "threshold").alias("_head"), F.max("threshold").alias("_top"))
+        firsts = firsts.select("_range", F.lead("_head").over(over).alias("_after"), (F.row_number().over(over) == 1).alias("_leads"), "_top")
+        points = points.withColumn("_next", F.lead(F.struct("_dp", "_dn")).over(inside)).join(F.broadcast(firsts), "_range")
+        following = F.coalesce("_next", "_after")
+        points = points.where(following.isNull() | (F.col("_leads") & (F.col("threshold") == F.col("_top"))) | (following != F.struct("_dp", "_dn")))
     points = points.select("threshold", "tps", "fps").unionByName(df.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, tps long, fps long"))
     return points.join(F.broadcast(totals)).select("threshold", "tps", "fps", ratio(F.col("tps"), F.col("_p")).alias("tpr"), ratio(F.col("fps"), F.col("_n")).alias("fpr"))
 
@@ -66,8 +70,14 @@ def equal_error_rate(df: DataFrame, label: str = "y", score: str = "score", thin
     return p.orderBy("_gap", F.desc("threshold")).limit(1).select(((F.col("fpr") + 1 - F.col("tpr")) / 2).alias("eer"), F.col("threshold").alias("eer_threshold"))
 
 
-def compare(a: DataFrame, b: DataFrame, first: str, second: str, keys: tuple[str, ...] = ("model", "features")) -> DataFrame:
-    """Results of two conditions side by side, with the changes of AUC and EER from the first to the second."""
+def changes(a: DataFrame, b: DataFrame, first: str, second: str, keys: tuple[str, ...] = ("model", "features"), drop: bool = False) -> DataFrame:
+    """Results side by side as published: with drop the fall of AUC (first - second) and the rise of EER, else both as second - first."""
     left = a.withColumnsRenamed({c: f"{first}_{c}" for c in a.columns if c not in keys})
     right = b.withColumnsRenamed({c: f"{second}_{c}" for c in b.columns if c not in keys})
-    return left.join(right, list(keys)).withColumns({"auc_change": F.col(f"{second}_roc_auc") - F.col(f"{first}_roc_auc"), "eer_change": F.col(f"{second}_eer") - F.col(f"{first}_eer")})
+    auc, eer = F.col(f"{second}_roc_auc") - F.col(f"{first}_roc_auc"), F.col(f"{second}_eer") - F.col(f"{first}_eer")
+    return left.join(right, list(keys)).withColumns({"roc_auc_drop": -auc, "eer_increase": eer} if drop else {"auc_change": auc, "eer_change": eer})
+
+
+def compare(a: DataFrame, b: DataFrame, first: str, second: str, keys: tuple[str, ...] = ("model", "features")) -> DataFrame:
+    """Results of two conditions side by side, with the changes of AUC and EER from the first to the second."""
+    return changes(a, b, first, second, keys)

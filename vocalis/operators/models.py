@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ class LinearModel:
     scaler: Scaler
     weights: tuple[float, ...]
     intercept: float
+    #: Whether the gradient was within the tolerance when training ended.
+    converged: bool = True
 
     def score(self, df: DataFrame) -> DataFrame:
         """df with score and pred, as one expression over the unscaled columns."""
@@ -54,28 +58,28 @@ def class_weights(df: DataFrame, label: str) -> dict[int, float]:
     return {k: n / (2 * v) for k, v in sizes.items()}
 
 
-def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: float = 1.0, steps: int = 20, tolerance: float = 1e-6) -> LinearModel:
+def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: float = 1.0, steps: int = 100, tolerance: float = 1e-6) -> LinearModel:
     """Minimise |w|^2/2 + c * sum of weighted squared hinges, the intercept being regularised like a weight.
 
     Each Newton step is one pass: partitions send their gradient and Hessian (columns squared), never rows.
+    The input is kept in memory and on disk between passes. Ending without convergence is warned of.
     """
     scaler, weight = Scaler.fit(df, columns), class_weights(df, label)
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), *(F.col(x).cast("double") for x in columns))
     mean, std = np.array(scaler.mean), np.array(scaler.std)
     d = len(columns) + 1
 
-    def one_pass(w: np.ndarray, points: list[np.ndarray]) -> tuple[list[float], np.ndarray, np.ndarray]:
+    def one_pass(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loss, grad, hess = np.zeros(len(points)), np.zeros(d), np.zeros((d, d))
+            loss, grad, hess = np.zeros(1), np.zeros(d), np.zeros((d, d))
             for b in batches:
                 x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)], 1)
                 y, x = 2 * x[:, 0] - 1, np.nan_to_num((x[:, 1:] - mean) / std)
                 x = np.hstack([x, np.ones((len(x), 1))])
                 u = np.where(y > 0, weight[1], weight[0])
-                for i, p in enumerate(points):
-                    loss[i] += (u * np.maximum(0, 1 - y * (x @ p)) ** 2).sum()
                 gap = 1 - y * (x @ w)
                 act = gap > 0
+                loss += (u[act] * gap[act] ** 2).sum()
                 grad += -2 * c * (x[act].T @ (u[act] * y[act] * gap[act]))
                 hess += 2 * c * (x[act].T * u[act]) @ x[act]
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([c * loss, grad, hess.ravel()]).tobytes()], pa.binary())], ["sums"])
@@ -87,22 +91,31 @@ def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: fl
         # Two levels of sums, so that no task meets all partitions.
         partial = rows.mapInArrow(part, "sums binary").withColumn("k", F.spark_partition_id() % 64).groupBy("k").applyInArrow(lambda t: add(t.select(["sums"])), "sums binary")
         total = sum(np.frombuffer(bytes(r[0]), np.float64) for r in partial.collect())
-        n = len(points)
-        return [float(total[i] + points[i] @ points[i] / 2) for i in range(n)], total[n : n + d] + w, total[n + d :].reshape(d, d) + np.eye(d)
-
-    w = np.zeros(d)
-    for _ in range(steps):
-        _, grad, hess = one_pass(w, [w])
-        if np.abs(grad).max() < tolerance * max(1, np.abs(w).max()):
-            break
-        step = np.linalg.solve(hess, -grad)
-        sizes = [1.0, 0.5, 0.25, 0.1, 0.03, 0.0]
-        losses, _, _ = one_pass(w, [w + s * step for s in sizes])
-        best = int(np.argmin(losses))
-        w = w + sizes[best] * step
-        if losses[-1] - losses[best] <= tolerance * losses[-1]:
-            break
-    return LinearModel(scaler, tuple(map(float, w[:-1])), float(w[-1]))
+        return float(total[0] + w @ w / 2), total[1 : 1 + d] + w, total[1 + d :].reshape(d, d) + np.eye(d)
+
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        w = np.zeros(d)
+        loss, grad, hess = one_pass(w)
+        size, converged = 1.0, False
+        for _ in range(steps):
+            converged = bool(np.abs(grad).max() < tolerance * max(1, np.abs(w).max()))
+            if converged:
+                break
+            # The next point's own pass tells whether the step before it was too long.
+            step = np.linalg.solve(hess, -grad)
+            there = one_pass(w + size * step)
+            if there[0] <= loss + 1e-4 * size * (grad @ step) + 1e-12 * abs(loss):
+                w, (loss, grad, hess), size = w + size * step, there, 1.0
+            elif size < 1e-6:
+                break
+            else:
+                size /= 2
+    finally:
+        rows.unpersist()
+    if not converged:
+        warnings.warn(f"the linear machine ended with a gradient of {np.abs(grad).max():.3g}", stacklevel=2)
+    return LinearModel(scaler, tuple(map(float, w[:-1])), float(w[-1]), converged)
 
 
 def random_forest(df: DataFrame, columns: list[str], label: str = "label_id", trees: int = 200, depth: int = 30, seed: int = 1337):

@@ -44,21 +44,43 @@ def run(manifest: DataFrame, files: DataFrame, clipping: float = 0.99, top_db: f
 
 
 def summarize(qc: DataFrame) -> DataFrame:
-    """By split and label; statistics over readable files alone, null where there are none."""
+    """By split and label; statistics over readable files alone, null where there are none; rates in order as text."""
     ok = F.col("ok")
 
     def over(c: str):
         return F.when(ok, F.col(c))
 
-    rates = F.array_join(F.array_sort(F.collect_set(over("sample_rate"))), ",")
+    rates = F.array_join(F.array_sort(F.collect_set(over("sample_rate").cast("string"))), ",")
     return qc.where("split IS NOT NULL AND label IS NOT NULL").groupBy("split", "label").agg(
         F.count("*").alias("n_files"), F.count_if(~ok).alias("n_corrupt"), F.when(rates == "", "-").otherwise(rates).alias("sample_rates"),
         F.round(F.avg(over("duration_s")), 3).alias("dur_mean_s"), F.round(F.median(over("duration_s")), 3).alias("dur_median_s"), F.round(F.min(over("duration_s")), 3).alias("dur_min_s"), F.round(F.max(over("duration_s")), 3).alias("dur_max_s"),
-        F.round(F.avg(over("rms_dbfs")), 2).alias("rms_dbfs_mean"), F.round(F.avg(over("peak")), 4).alias("peak_mean"), F.round(F.avg(over("dc_offset")), 6).alias("dc_offset_mean"), F.round(F.max(F.abs(over("dc_offset"))), 6).alias("dc_offset_absmax"),
-        F.round(F.avg(over("clipping_rate")), 6).alias("clipping_rate_mean"), F.round(F.avg(over("silence_ratio")), 4).alias("silence_ratio_mean"),
+        F.round(F.avg(over("rms_dbfs")), 2).alias("rms_dbfs_mean"), F.round(F.avg(over("peak")), 4).alias("peak_mean"), F.avg(over("dc_offset")).alias("dc_offset_mean"), F.max(F.abs(over("dc_offset"))).alias("dc_offset_absmax"),
+        F.avg(over("clipping_rate")).alias("clipping_rate_mean"), F.round(F.avg(over("silence_ratio")), 4).alias("silence_ratio_mean"),
     )
 
 
+#: A colour for each class in figures, and for anything else.
+CLASS_COLOURS, OTHER_COLOUR = {"bonafide": "#0072B2", "spoof": "#D55E00"}, "#666666"
+
+
+def class_colour(label: str) -> str:
+    return CLASS_COLOURS.get(label, OTHER_COLOUR)
+
+
+def write(qc: DataFrame, folder: str, fmt: str = "parquet") -> None:
+    """The sinks of a quality run: measures, their summary, and the data of its figures."""
+    base = folder.rstrip("/")
+    for name, df in {"per_file": qc, "summary": summarize(qc), **figures(qc)}.items():
+        out = df.write.mode("overwrite")
+        (out.option("header", True).csv if fmt == "csv" else out.parquet)(f"{base}/{name}")
+
+
+def figures(qc: DataFrame) -> dict[str, DataFrame]:
+    """What the figures show: durations and levels of readable files by label, and files by split and label."""
+    ok = qc.where("ok")
+    return {"durations": histogram(ok, "duration_s", 40), "levels": histogram(ok, "rms_dbfs", 40), "balance": qc.groupBy("split", "label").agg(F.count("*").alias("n"))}
+
+
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None, by: str = "label") -> DataFrame:
     """(by, bin, n) of equal bins, the last one closed; limits default to the column's own."""
     if low is None or high is None:

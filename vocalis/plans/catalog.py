@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.functions import signal
-from vocalis.operators import features, leakage, manifest, metrics, models, qc, sampling
+from vocalis.operators import experiments, features, leakage, manifest, metrics, models, qc, sampling
 from vocalis.session import table
 from vocalis.sources import protocol
 
@@ -87,14 +88,19 @@ def first_per_group(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("lang", "doc_id").alias("lang"))
 
 
-@query("SELECT doc_id, source, lang FROM documents SEMI JOIN labels USING (doc_id)")
+@query("SELECT printf('LA_T_%07d', doc_id) AS utt_id, 'audio/' || printf('LA_T_%07d', doc_id) || '.flac' AS path, 'spoof' AS label, 1::BIGINT AS label_id, source AS speaker, lang AS attack, 'docs' AS source_corpus, 'train' AS split FROM documents SEMI JOIN labels USING (doc_id)")
 def semi_join_labelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    """A listing's utterances, those with a file alone."""
+    utt = F.format_string("LA_T_%07d", "doc_id")
+    listing = table(spark, sf_dir, "documents").select(utt.alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("attack"), F.lit("spoof").alias("label"))
+    files = table(spark, sf_dir, "labels").select(F.concat(F.lit("/data/audio/"), utt, F.lit(".flac")).alias("path"))
+    return protocol.from_protocol(listing, "/data/audio", "docs", "train", files, "/data")
 
 
 @query("SELECT source, count(*) AS n_missing FROM documents ANTI JOIN labels USING (doc_id) GROUP BY 1")
 def anti_join_missing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n_missing"))
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"))
+    return manifest.missing_files(rows, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))).groupBy("source").agg(F.count("*").alias("n_missing"))
 
 
 @query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -115,16 +121,22 @@ def union_train_val(spark, sf_dir):
     return m.where("split = 'train'").unionByName(m.where("split = 'val'"))
 
 
-@query("SELECT source FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 7 = 1")
+@query(f"SELECT speaker FROM {_M} WHERE split = 'train' INTERSECT SELECT speaker FROM {_M} WHERE split IN ('val', 'eval')")
 def split_intersect(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.where("doc_id % 5 = 0").select("source").intersect(d.where("doc_id % 7 = 1").select("source"))
+    m = _manifest(spark, sf_dir).select("speaker", "split")
+    return m.where("split = 'train'").select("speaker").intersect(m.where("split IN ('val', 'eval')").select("speaker"))
 
 
-@query("SELECT lang, source FROM documents WHERE doc_id % 5 = 0 EXCEPT ALL SELECT lang, source FROM documents WHERE doc_id % 5 = 1")
+@query(f"SELECT attack, speaker FROM {_M} WHERE split = 'train' EXCEPT ALL SELECT attack, speaker FROM {_M} WHERE split IN ('val', 'eval')")
 def split_except(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return d.where("doc_id % 5 = 0").select("lang", "source").exceptAll(d.where("doc_id % 5 = 1").select("lang", "source"))
+    m = _manifest(spark, sf_dir).select("attack", "speaker", "split")
+    return m.where("split = 'train'").drop("split").exceptAll(m.where("split IN ('val', 'eval')").drop("split"))
+
+
+@query(f"SELECT utt_id, label AS true_label, label_id AS true_label_id, doc % 2 AS predicted_label_id, CASE WHEN doc % 2 = 1 THEN 'spoof' ELSE 'bonafide' END AS predicted_label, doc / 7.0 AS svm_score FROM (SELECT *, substr(utt_id, 6)::BIGINT AS doc FROM {_M})")
+def prediction_table(spark, sf_dir):
+    doc = F.substr("utt_id", F.lit(6)).cast("long")
+    return experiments.predictions(_manifest(spark, sf_dir).withColumns({"pred": doc % 2, "score": doc / 7.0}))
 
 
 # ---- protocol lines and paths -----------------------------------------------------------------------------
@@ -168,27 +180,43 @@ def protocol_reject_count(spark, sf_dir):
     return lines.agg(F.count("*").alias("n_lines")).join(protocol.parsed(lines).agg(F.count("*").alias("_ok"))).select("n_lines", (F.col("n_lines") - F.col("_ok")).alias("n_rejected"))
 
 
-_DIRS = "(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'LJSpeech_' || p_brand || '_MelGAN' WHEN 1 THEN ' ljspeech-' || p_size WHEN 2 THEN 'jsut_' || p_type ELSE p_name END AS dir FROM part)"
-_ANY = "(" + " OR ".join(f"contains(lower(trim(dir)), '{g}')" for g in protocol.GENERATORS) + ")"
+# Directory names to be told apart, given to both sides as the input; the SQL states the rule in its own words.
+_NAMES = ("LJSpeech-1.1", "ljspeech_MelGAN", "ljspeech_melgan_large", "LJSpeech_parallel_wavegan", "ljspeech_hifiGAN", "jsut_multi_band_melgan", "jsut_ver1.1", " JSUT ", "ljspeech_waveglow", "ljspeech_WaveRNN", "ljspeech_waveflow", "ljspeech_avocodo", "ljspeech_bigvgan", "jsut_diffwave", "some_vocoder", "common_voices_TTS", "stargan", "real_speech", "bonafide_set", "wavenet", "conformer_2", "tacotron", "misc")
+_DIRS = f"(SELECT p_partkey, list_extract([{', '.join(repr(n) for n in _NAMES)}], (p_partkey % {len(_NAMES)})::INTEGER + 1) AS dir FROM part)"
+_GENERATOR = "regexp_matches(lower(dir), 'melgan|wavegan|hifigan|waveglow|wavernn|waveflow|avocodo|bigvgan|diffwave|vocoder|tts|gan')"
+_REAL = "regexp_matches(lower(dir), 'ljspeech|jsut|real|bonafide')"
 
 
 def _dirs(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey") % 4
-    name = F.when(k == 0, F.concat(F.lit("LJSpeech_"), "p_brand", F.lit("_MelGAN"))).when(k == 1, F.concat(F.lit(" ljspeech-"), F.col("p_size").cast("string"))).when(k == 2, F.concat(F.lit("jsut_"), "p_type")).otherwise(F.col("p_name"))
-    return p.select("p_partkey", name.alias("dir"))
+    names = F.array(*map(F.lit, _NAMES))
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(_NAMES)).cast("int")).alias("dir"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN {_ANY} THEN 'spoof' WHEN contains(lower(dir), 'ljspeech') OR contains(lower(dir), 'jsut') THEN 'bonafide' ELSE 'spoof' END AS label, regexp_replace(lower(trim(dir)), '^(ljspeech_|jsut_)', '') AS generator FROM {_DIRS}")
+@query(f"SELECT p_partkey, CASE WHEN {_REAL} AND NOT {_GENERATOR} THEN 'bonafide' ELSE 'spoof' END AS label, regexp_replace(lower(trim(dir)), '^(ljspeech_|jsut_)', '') AS generator, NOT {_REAL} AND NOT {_GENERATOR} AS odd FROM {_DIRS}")
 def directory_labels(spark, sf_dir):
-    return _dirs(spark, sf_dir).select("p_partkey", protocol.directory_label(F.col("dir")).alias("label"), protocol.generator_name(F.col("dir")).alias("generator"))
+    d = F.col("dir")
+    return _dirs(spark, sf_dir).select("p_partkey", protocol.directory_label(d).alias("label"), protocol.generator_name(d).alias("generator"), protocol.unrecognised(d).alias("odd"))
+
+
+@query(f"SELECT 'corpus/' || dir AS top, dir || '/f' || p_partkey AS utt_id, 'corpus/' || dir || '/wavs/f' || p_partkey || '.wav' AS path, CASE WHEN {_REAL} AND NOT {_GENERATOR} THEN 'bonafide' ELSE regexp_replace(lower(trim(dir)), '^(ljspeech_|jsut_)', '') END AS attack, CASE WHEN contains(lower(dir), 'ljspeech') THEN 'ljspeech' WHEN contains(lower(dir), 'jsut') THEN 'jsut' ELSE lower(dir) END AS speaker FROM {_DIRS}")
+def directory_manifest(spark, sf_dir):
+    files = _dirs(spark, sf_dir).select(F.concat(F.lit("/data/corpus/"), "dir", F.lit("/wavs/f"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("path"))
+    m = protocol.from_directories(files, "/data/corpus", "c", "s", "/data")
+    return m.select(F.regexp_extract("path", "^(corpus/[^/]*)", 1).alias("top"), "utt_id", "path", "attack", "speaker")
+
 
+@query("SELECT count(*) FILTER (k = 0) AS n_rows, count(*) FILTER (k = 1) AS n_skipped, count(*) FILTER (k = 2) AS n_ignored, count(*) FILTER (k = 0) AS n_unknown_speaker FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 2 WHEN o_orderkey % 5 = 1 THEN 1 ELSE 0 END AS k FROM orders)")
+def protocol_line_counts(spark, sf_dir):
+    """Comments behind a tab and blank lines, lines without a label, and usable lines without a speaker."""
+    k = F.col("o_orderkey") % 5
+    value = F.when(k == 0, F.when(F.col("o_orderkey") % 2 == 0, "\t # LA_T_1 spoof").otherwise(" \t ")).when(k == 1, F.concat(F.lit("LA_T_"), F.col("o_orderkey").cast("string"), F.lit(" - -"))).otherwise(F.concat(F.lit("LA_T_"), F.col("o_orderkey").cast("string"), F.lit("\t- - SPOOF")))
+    return protocol.line_counts(table(spark, sf_dir, "orders").select(value.alias("value")))
 
-@query("SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN substr(url, 11) ELSE url END AS relative, CASE WHEN starts_with(url, '/') THEN url ELSE '/root/' || url END AS resolved, regexp_extract(url, '([^/]+)$', 1) AS last_part FROM pages")
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE url END AS relative, CASE WHEN starts_with(url, '/') THEN url ELSE '/root/' || url END AS resolved, regexp_extract(url, '([^/]+)$', 1) AS last_part FROM pages")
 def path_relativize(spark, sf_dir):
     u = F.col("url")
-    stripped = F.when(u.startswith("https://m."), F.substr(u, F.lit(11))).otherwise(u)
-    return table(spark, sf_dir, "pages").select("page_id", stripped.alias("relative"), manifest.resolved_path(u, "/root").alias("resolved"), F.regexp_extract(u, "([^/]+)$", 1).alias("last_part"))
+    return table(spark, sf_dir, "pages").select("page_id", manifest.relative_path(u, "https:").alias("relative"), manifest.resolved_path(u, "/root").alias("resolved"), F.regexp_extract(u, "([^/]+)$", 1).alias("last_part"))
 
 
 @query("SELECT p_partkey, printf('mfcc_%02d', p_size) AS feature, replace(replace(lower(p_name), ' ', '_'), '+', '_plus_') AS slug, CASE WHEN p_size <= 1 THEN 1 ELSE pow(2, ceil(log2(p_size)))::BIGINT END AS pow2, round_even(p_size * 16001 / 1000.0, 0)::BIGINT AS samples FROM part")
@@ -199,12 +227,15 @@ def scalar_functions(spark, sf_dir):
 
 # ---- leakage and sampling -----------------------------------------------------------------------------------
 
-_U = f"(SELECT printf('U%05d', doc_id % 400) AS utt_id, source AS speaker, lang AS source_corpus, {_SPLIT} AS split, coalesce(sha1(substr(text, 1, 64)), '') AS hash FROM documents)"
+# In every ten documents two bear the id of the document before: once in the same split, once in another.
+_ID = "doc_id - CASE WHEN doc_id % 10 IN (3, 6) THEN 1 ELSE 0 END"
+_U = f"(SELECT printf('U%05d', {_ID}) AS utt_id, source AS speaker, lang AS source_corpus, {_SPLIT} AS split, coalesce(sha1(text), '') AS hash FROM documents)"
 
 
 def _units(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return d.select(F.format_string("U%05d", F.col("doc_id") % 400).alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("source_corpus"), _split().alias("split"), F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit("")).alias("hash"))
+    own = F.col("doc_id") - F.when((F.col("doc_id") % 10).isin(3, 6), 1).otherwise(0)
+    return d.select(F.format_string("U%05d", own).alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("source_corpus"), _split().alias("split"), F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit("")).alias("hash"))
 
 
 @query(f"SELECT utt_id, count(DISTINCT split) AS n_splits FROM {_U} GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -236,13 +267,32 @@ def leak_within_split_dups(spark, sf_dir):
     return leakage.hash_groups(_units(spark, sf_dir)).where("n_splits = 1").agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("long").alias("excess"))
 
 
-@query()
+def _report_sql() -> str:
+    overlap = f"(SELECT utt_id FROM {_U} GROUP BY 1 HAVING count(DISTINCT split) > 1)"
+    spk = f"(SELECT speaker || ': ' || array_to_string(s, ', ') AS e, CASE WHEN list_contains(s, 'train') OR nc = 1 THEN 'error' ELSE 'note' END AS severity FROM (SELECT speaker, list_sort(list(DISTINCT split)) AS s, count(DISTINCT source_corpus) AS nc FROM {_U} WHERE speaker IS NOT NULL AND speaker <> 'unknown' GROUP BY 1) WHERE len(s) > 1)"
+    h = f"(SELECT hash, count(*) AS size, count(DISTINCT split) AS n_splits, array_to_string(list_sort(list(DISTINCT utt_id))[1:3], ', ') AS e FROM {_U} WHERE hash <> '' GROUP BY 1 HAVING count(*) > 1)"
+    parts = (
+        f"SELECT 'error' AS severity, 'utterance_overlap' AS \"check\", count(*) AS n, list_sort(list(DISTINCT utt_id))[1:5] AS x FROM {overlap}",
+        f"SELECT 'error', 'duplicate_ids', count(*) - count(DISTINCT utt_id), [(count(*) - count(DISTINCT utt_id))::VARCHAR] FROM {_U}",
+        f"SELECT severity, 'speaker_conflict', count(*), list_sort(list(DISTINCT e))[1:5] FROM {spk} GROUP BY 1",
+        f"SELECT 'error', 'duplicate_audio', count(*), [min(e)] FROM {h} WHERE n_splits > 1",
+        f"SELECT 'note', 'duplicates_within_split', coalesce(sum(size - 1), 0)::BIGINT, [min(e)] FROM {h} WHERE n_splits = 1",
+        f"SELECT 'note', 'unreadable', count(*), [min(utt_id)] FROM {_U} WHERE hash = ''",
+    )
+    return f"SELECT severity, \"check\", n, array_to_string(x, ' | ') AS examples FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@query(_report_sql())
 def leakage_report(spark, sf_dir):
     u = _units(spark, sf_dir)
-    return leakage.report(u, u)
+    return leakage.report(u, u).withColumn("examples", F.array_join("examples", " | "))
 
 
-@query()
+# A seeded permutation is beyond SQL, so the places it puts first are given for each number of speakers up to 64.
+_FIRST = ", ".join(f"({n}, {int(i)})" for n in range(2, 65) for i in np.random.RandomState(1337).permutation(n)[: math.ceil(0.15 * n)])
+
+
+@query(f"WITH m AS {_M}, s AS (SELECT speaker, row_number() OVER (ORDER BY speaker) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT speaker FROM m WHERE split = 'train')), v AS (SELECT speaker FROM s JOIN (VALUES {_FIRST}) f(n, i) USING (n, i)) SELECT CASE WHEN m.split = 'train' AND v.speaker IS NOT NULL THEN 'val' ELSE m.split END AS split, m.speaker, count(*) AS n FROM m LEFT JOIN v USING (speaker) GROUP BY ALL")
 def group_disjoint_split(spark, sf_dir):
     m = sampling.speaker_disjoint_split(_manifest(spark, sf_dir))
     return m.groupBy("split", "speaker").agg(F.count("*").alias("n"))
@@ -445,9 +495,15 @@ def qc_signal_measures(spark, sf_dir):
     return _measures(spark, sf_dir).select("vec_id", F.round("db", 4).alias("rms_dbfs"), F.round("peak", 5).alias("peak"), F.round("dc", 5).alias("dc_offset"), F.col("clip").alias("clipping_rate"))
 
 
-@query(f"SELECT label, count(*) AS n_files, count(*) FILTER (clip > 0) AS n_clipped, round(avg(db), 2) AS rms_dbfs_mean, round(median(db), 3) AS rms_dbfs_median, round(avg(peak), 4) AS peak_mean, round(max(abs(dc)), 5) AS dc_offset_absmax FROM {_Q} GROUP BY 1")
+_QC = f"(SELECT CASE WHEN vec_id % 3 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN label >= 5 THEN 'spoof' ELSE 'bonafide' END AS label, vec_id % 17 <> 0 AND NOT (label = 7) AS ok, CASE WHEN vec_id % 4 = 0 THEN 8000 ELSE 16000 END AS rate, (vec_id % 50 + 1) / 8.0 AS dur, db, peak, dc, clip, (vec_id % 9) / 10.0 AS silence FROM {_Q})"
+
+
+@query(f"SELECT split, label, count(*) AS n_files, count(*) FILTER (NOT ok) AS n_corrupt, coalesce(string_agg(DISTINCT rate::VARCHAR, ',' ORDER BY rate::VARCHAR) FILTER (ok), '-') AS sample_rates, round(avg(dur) FILTER (ok), 3) AS dur_mean_s, round(median(dur) FILTER (ok), 3) AS dur_median_s, round(min(dur) FILTER (ok), 3) AS dur_min_s, round(max(dur) FILTER (ok), 3) AS dur_max_s, round(avg(db) FILTER (ok), 2) AS rms_dbfs_mean, round(avg(peak) FILTER (ok), 4) AS peak_mean, round(avg(dc) FILTER (ok), 8) AS dc_offset_mean, round(max(abs(dc)) FILTER (ok), 8) AS dc_offset_absmax, round(avg(clip) FILTER (ok), 8) AS clipping_rate_mean, round(avg(silence) FILTER (ok), 4) AS silence_ratio_mean FROM {_QC} GROUP BY 1, 2")
 def qc_summary(spark, sf_dir):
-    return _measures(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_files"), F.count_if(F.col("clip") > 0).alias("n_clipped"), F.round(F.avg("db"), 2).alias("rms_dbfs_mean"), F.round(F.median("db"), 3).alias("rms_dbfs_median"), F.round(F.avg("peak"), 4).alias("peak_mean"), F.round(F.max(F.abs("dc")), 5).alias("dc_offset_absmax"))
+    v = F.col("vec_id")
+    rows = _measures(spark, sf_dir).select(F.when(v % 3 == 0, "val").otherwise("train").alias("split"), F.when(F.col("label") >= 5, "spoof").otherwise("bonafide").alias("label"), ((v % 17 != 0) & (F.col("label") != 7)).alias("ok"), F.when(v % 4 == 0, 8000).otherwise(16000).alias("sample_rate"), ((v % 50 + 1) / 8.0).alias("duration_s"), F.col("db").alias("rms_dbfs"), "peak", F.col("dc").alias("dc_offset"), F.col("clip").alias("clipping_rate"), ((v % 9) / 10.0).alias("silence_ratio"))
+    # These three are not rounded by the operator; sums in another order differ in their last bits.
+    return qc.summarize(rows).withColumns({c: F.round(c, 8) for c in ("dc_offset_mean", "dc_offset_absmax", "clipping_rate_mean")})
 
 
 @query("SELECT lang AS label, least(floor((n_chars - lo) * 40.0 / (hi - lo)), 39)::BIGINT AS bin, count(*) AS n FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) GROUP BY 1, 2")
@@ -530,11 +586,57 @@ def compare_conditions(spark, sf_dir):
     return got.withColumns({c: F.round(c, 6) for c in ("auc_change", "eer_change")})
 
 
-@query()
+@query("SELECT model, features, a.roc_auc AS val_roc_auc, a.eer AS val_eer, b.roc_auc AS eval_roc_auc, b.eer AS eval_eer, round(a.roc_auc - b.roc_auc, 6) AS roc_auc_drop, round(b.eer - a.eer, 6) AS eer_increase FROM " + _K.format(op="=") + " a JOIN " + _K.format(op="<>") + " b USING (model, features)")
+def validation_against_evaluation(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("model", F.concat(F.lit("m"), (F.col("l_suppkey") % 5).cast("string")))
+
+    def results(rows):
+        return rows.groupBy("model", F.col("l_linestatus").alias("features")).agg(F.round(F.avg("l_discount"), 6).alias("roc_auc"), F.round(F.avg("l_tax"), 6).alias("eer"))
+
+    got = metrics.changes(results(li.where("l_returnflag = 'N'")), results(li.where("l_returnflag <> 'N'")), "val", "eval", drop=True)
+    return got.withColumns({c: F.round(c, 6) for c in ("roc_auc_drop", "eer_increase")})
+
+
+def _feature_sql() -> str:
+    """All 92 features by definition: the transform as dot products with sines and cosines, banks and DCT from their formulas."""
+    hz = "b * 8000.0 / 256"
+    triangle = "greatest(0, least(({f} - lo) / (mid - lo), (hi - {f}) / (hi - mid)))".format(f=hz)
+    dct = "sqrt(2.0 / {n}) * (CASE WHEN c = 0 THEN 1 / sqrt(2.0) ELSE 1 END) * cos(pi() * c * (2 * j + 1) / (2 * {n}))"
+    names = [*(f"mfcc_{i:02d}" for i in range(1, 21)), *(f"lfcc_{i:02d}" for i in range(1, 21)), "spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "spectral_flux", "short_time_energy", "zero_crossing_rate"]
+    columns = ", ".join(f"round(max({s}) FILTER (name = '{n}'), 4) + 0.0 AS {n}_{t}" for s, t in (("a", "mean"), ("d", "std")) for n in names)
+    return f"""
+WITH s AS (SELECT vec_id, [x[(i - 1) % len(x) + 1] FOR i IN range(1, 1601)] AS x FROM {_X}),
+w AS (SELECT list(CASE WHEN i BETWEEN 56 AND 455 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 56) / 400) ELSE 0 END ORDER BY i) AS w FROM range(512) t(i)),
+f AS (SELECT vec_id, k, [u[1] * u[2] FOR u IN list_zip(p[160 * k + 1 : 160 * k + 512], w)] AS f FROM (SELECT vec_id, unnest(range(11)) AS k, list_concat(list_concat([0.0::DOUBLE FOR i IN range(256)], x), [0.0::DOUBLE FOR i IN range(256)]) AS p FROM s), w),
+basis AS (SELECT b, list(cos(2 * pi() * b * t / 512) ORDER BY t) AS c, list(sin(2 * pi() * b * t / 512) ORDER BY t) AS s FROM range(257) x(b), range(512) y(t) GROUP BY b),
+m AS MATERIALIZED (SELECT vec_id, k, b, sqrt(pow(list_dot_product(f, c), 2) + pow(list_dot_product(f, s), 2)) AS m FROM f, basis),
+mels AS (SELECT i, CASE WHEN q < 15 THEN q * 200 / 3 ELSE 1000 * exp((q - 15) * ln(6.4) / 27) END AS e FROM (SELECT i, i * (15 + 27 * ln(8.0) / ln(6.4)) / 129 AS q FROM range(130) t(i))),
+mel AS (SELECT j, b, {triangle} * 2 / (hi - lo) AS v FROM (SELECT i AS j, e AS lo, lead(e) OVER (ORDER BY i) AS mid, lead(e, 2) OVER (ORDER BY i) AS hi FROM mels), range(257) t(b) WHERE j < 128),
+lin AS (SELECT j, b, {triangle} AS v FROM (SELECT j, j * 8000.0 / 41 AS lo, (j + 1) * 8000.0 / 41 AS mid, (j + 2) * 8000.0 / 41 AS hi FROM range(40) t(j)), range(257) u(b)),
+me AS (SELECT vec_id, k, j, 10 * log10(greatest(sum(v * m * m), 1e-10)) AS e FROM mel JOIN m USING (b) GROUP BY ALL),
+md AS (SELECT vec_id, k, list(e ORDER BY j) AS e FROM (SELECT vec_id, k, j, greatest(e, max(e) OVER (PARTITION BY vec_id) - 80) AS e FROM me) GROUP BY ALL),
+ld AS (SELECT vec_id, k, list(e ORDER BY j) AS e FROM (SELECT vec_id, k, j, ln(greatest(sum(v * m * m), 1e-10)) AS e FROM lin JOIN m USING (b) GROUP BY ALL) GROUP BY ALL),
+d128 AS (SELECT c, list({dct.format(n=128)} ORDER BY j) AS d FROM range(20) t(c), range(128) u(j) GROUP BY c),
+d40 AS (SELECT c, list({dct.format(n=40)} ORDER BY j) AS d FROM range(20) t(c), range(40) u(j) GROUP BY c),
+tot AS (SELECT vec_id, k, sum(m) AS s FROM m GROUP BY ALL),
+cen AS (SELECT vec_id, k, any_value(s) AS s, sum(CASE WHEN s > 0 THEN m / s ELSE 0 END * {hz}) AS c FROM m JOIN tot USING (vec_id, k) GROUP BY ALL),
+ban AS (SELECT vec_id, k, sqrt(sum(CASE WHEN s > 0 THEN m / s ELSE 0 END * pow({hz} - c, 2))) AS v FROM m JOIN cen USING (vec_id, k) GROUP BY ALL),
+rol AS (SELECT vec_id, k, coalesce(min({hz}) FILTER (run >= 0.85 * s), 0) AS v FROM (SELECT vec_id, k, b, sum(m) OVER (PARTITION BY vec_id, k ORDER BY b) AS run FROM m) JOIN tot USING (vec_id, k) GROUP BY ALL),
+flu AS (SELECT vec_id, k, sqrt(sum(pow(q - before, 2))) AS v FROM (SELECT vec_id, k, q, lag(q, 1, q) OVER (PARTITION BY vec_id, b ORDER BY k) AS before FROM (SELECT vec_id, k, b, m / (s + 1e-10) AS q FROM m JOIN tot USING (vec_id, k))) GROUP BY ALL),
+ene AS (SELECT vec_id, k, list_sum([u * u FOR u IN p[160 * k + 1 : 160 * k + 400]]) / 400 AS v FROM (SELECT vec_id, unnest(range(11)) AS k, list_concat(list_concat([0.0::DOUBLE FOR i IN range(200)], x), [0.0::DOUBLE FOR i IN range(200)]) AS p FROM s)),
+zer AS (SELECT vec_id, k, list_sum([CASE WHEN u[1] <> u[2] THEN 1 ELSE 0 END FOR u IN list_zip(g[160 * k + 1 : 160 * k + 399], g[160 * k + 2 : 160 * k + 400])]) / 400.0 AS v FROM (SELECT vec_id, unnest(range(11)) AS k, [abs(u) > 1e-10 AND u < 0 FOR u IN p] AS g FROM (SELECT vec_id, list_concat(list_concat([x[1] FOR i IN range(200)], x), [x[1600] FOR i IN range(200)]) AS p FROM s))),
+v AS (SELECT vec_id, k, printf('mfcc_%02d', c + 1) AS name, list_dot_product(e, d) AS v FROM md, d128 UNION ALL SELECT vec_id, k, printf('lfcc_%02d', c + 1), list_dot_product(e, d) FROM ld, d40
+ UNION ALL SELECT vec_id, k, 'spectral_centroid', c FROM cen UNION ALL SELECT vec_id, k, 'spectral_bandwidth', v FROM ban UNION ALL SELECT vec_id, k, 'spectral_rolloff', v FROM rol UNION ALL SELECT vec_id, k, 'spectral_flux', v FROM flu
+ UNION ALL SELECT vec_id, k, 'short_time_energy', v FROM ene UNION ALL SELECT vec_id, k, 'zero_crossing_rate', v FROM zer)
+SELECT vec_id, {columns} FROM (SELECT vec_id, name, avg(v) AS a, stddev_pop(v) AS d FROM v GROUP BY ALL) GROUP BY vec_id"""
+
+
+@query(_feature_sql())
 def feature_vector_92(spark, sf_dir):
-    """Tiled embeddings as signals of 1600 samples."""
+    """Tiled embeddings as signals of 1600 samples; rounded, as sums in another order differ in their last bits."""
     x = _signals(spark, sf_dir).select("vec_id", signal.fix_length(F.col("x"), 1600).alias("x"))
-    return features.from_samples(x, "vec_id", "x")
+    got = features.from_samples(x, "vec_id", "x")
+    return got.select("vec_id", *(F.round(c, 4).alias(c) for c in got.columns[1:]))
 
 
 def _labelled_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
