@@ -154,6 +154,33 @@ def test_chat_round_trip_and_layouts(spark):
     assert back[1].n_turns == 2 and back[1].loss_chars == 0 and back[None].n_turns == 1
 
 
+def test_chat_layouts_with_further_fields(spark):
+    qa = [("user", "q"), ("assistant", "a")]
+    sys_qa = [("system", "s"), *qa]
+    cases = [
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "q"}, qa),
+        ({"messages": []}, []),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image", "url": "u"}]}, {"role": "bot", "content": ["a"]}]}, qa),
+        ({"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, sys_qa),
+        ({"instruction": "q", "input": "", "output": "a", "text": "all"}, qa),
+        ({"instruction": "q", "input": "more", "output": "a", "system": "s"}, [("system", "s"), ("user", "q\n\nmore"), ("assistant", "a")]),
+        ({"system": "s", "instruction": "q", "input": None, "output": "a"}, sys_qa),
+        ({"prompt": "q", "completion": "a", "system": "s", "text": "all"}, sys_qa),
+        ({"prompt": "q", "completion": "a", "response": "other"}, qa),
+        ({"question": "q", "answer": None, "context": ""}, [("user", "q"), ("assistant", "")]),
+        ({"messages": "none"}, None),
+        ({"instruction": "q"}, None),
+    ]
+    for value, want in cases:
+        _, turns = chat.turns_of(value)
+        assert (turns if turns is None else [(t["role"], t["text"]) for t in turns]) == want, value
+    rows = spark.createDataFrame([(1, 1, "user", "x", "p", "f", 3)], "conv_id long, turn long, role string, text string, prompt string, formatted string, messages int")
+    done = chat.format_chat(chat.canonical_turns(rows).withColumn("formatted", F.lit("old")).withColumn("loss_spans", F.lit(1)).withColumn("more", F.lit(2)))
+    assert done.columns == ["conv_id", "layout", "turns", "more", "formatted", "loss_spans"] and chat.read_back(done).first().n_turns == 1
+    assert chat.read_back(chat.format_chat(chat.canonical_turns(rows.limit(0)))).count() == 0
+    assert chat.canonical_turns(rows.limit(0), json_col="text").count() == 0
+
+
 def test_html_rules():
     t = html.page_text("<title>no</title><p>a<p>b<ul><li>x<li>y<ol start=3><li>z</ol></ul><table><tr><td>aa<td>b<tr><th>c<td>ddd</table>t&amp;c<pre> x\n  y</pre><div style='display:none'>no</div><i hidden>no</i><script>no</script>end<br>last")
     assert t == "a\n\nb\n\n- x\n- y\n  3. z\n\naa | b\nc  | ddd\n\nt&c\n\n x\n  y\n\nend\nlast"
@@ -161,6 +188,35 @@ def test_html_rules():
     assert html.page_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_head_without_end_tag():
+    assert html.page_text("<head><title>T</title>Hello <a href=x>link</a>") == "Hello link"
+    assert html.page_text("<head><title>T</title><font size=2><p>a<p>b") == "a\n\nb"
+    assert html.page_text("<html><head><meta x><li>one<li>two") == "- one\n- two"
+    assert html.page_text("<head> <script>no</script> </head><body>x") == "x"
+    assert html.page_text("a <svg><title>no</title><text>in</text></svg> <math>1</math> <textarea>t &amp; u</textarea><select><option>p<option>q</select>") == "a in 1 t & u\np\nq"
+
+
+def test_html_cells_keep_lines_and_spans():
+    t = html.page_text("<table><tr><td>a<ul><li>x<li>y</ul><td><pre>p\n  q</pre><tr><td colspan=2>wide cell here<tr><td rowspan=2>r<td>1<tr><td>2</table>")
+    assert t.split("\n") == ["a   | p", "    |   q", "- x", "- y", "wide cell here", "r   | 1", "    | 2"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '>", '<a ">" ', "<div>", "<div></p>", "<span><td></span>", "</x>", "<p><b>", "<li><i>", "<table><tr><td>", "<!--", "<script>", "<", "&amp"])
+def test_html_time_grows_with_length(piece):
+    import time
+
+    began = time.process_time()
+    html.page_text(piece * (400_000 // len(piece)))
+    html.page_text("<div>" * 20_000 + piece * 20_000 + "</div></q>" * 20_000)
+    assert time.process_time() - began < 8
+
+
+def test_html_through_spark(spark):
+    pages = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (2, "<p>x", "old"), (2, "<p>x", "old")], "page_id long, html string, visible_text string")
+    assert key(html.extract_text(pages).collect()) == key([(1, ""), (2, ""), (2, "x"), (2, "x")])
+    assert html.extract_text(pages.limit(0)).count() == 0
+
+
 def test_html_keeps_all_visible_characters(spark):
     from html.parser import HTMLParser
 
@@ -304,8 +360,7 @@ def test_block_bounds_keep_most_blocks_shut():
         return {w: x / size for w, x in v.items()}
 
     vectors = [unit(counts[i]) for i in index.ids.tolist()]
-    for c in counts[600:]:
-        _, cosines = index.nearest(c, 31)
+    for c, (_, cosines) in zip(counts[600:], index.nearest(counts[600:], 31), strict=True):
         q = unit(c)
         assert np.allclose(cosines, sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[:31])
     assert index.opened < 0.35 * index.offered

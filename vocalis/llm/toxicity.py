@@ -26,6 +26,10 @@ MAX_EXAMPLES, MAX_EXAMPLE_BYTES = 2048, 16384
 NEIGHBOURS = 31
 #: Examples of a block, and blocks opened first for each that the k nearest would fill.
 BLOCK, FIRST = 16, 2
+#: Words in a larger share of the examples are columns of each block's matrix; the others have postings.
+COMMON = 0.03
+#: Queries that open blocks together.
+BATCH = 64
 #: Added to distances before votes are weighted by their inverse.
 NEAREST = 0.05
 
@@ -142,9 +146,18 @@ class Index:
         self.ids = np.array([examples[i][0] for i in order], np.int64)
         self.labels = np.array([examples[i][1] for i in order], np.int64)
         cols = place[cols]
+        self.n_blocks = -(-len(examples) // BLOCK)
+        common = np.flatnonzero(np.bincount(rows, minlength=len(self.words)) > COMMON * max(len(examples), BLOCK))
+        self.common_of = np.full(len(self.words), -1, np.int64)
+        self.common_of[common] = np.arange(len(common))
+        wide = self.common_of[rows]
+        self.matrix = np.zeros((self.n_blocks, len(common), BLOCK))
+        here = wide >= 0
+        self.matrix[cols[here] // BLOCK, wide[here], cols[here] % BLOCK] = vals[here]
+        self.matrix_top = self.matrix.max(2, initial=0).T.copy()
+        rows, cols, vals = rows[~here], cols[~here], vals[~here]
         by = np.lexsort((cols, rows))
         rows, self.example, self.weight = rows[by], cols[by].astype(np.int32), vals[by]
-        self.n_blocks = -(-len(examples) // BLOCK)
         # A slot is one word in one block.
         block = self.example // BLOCK
         first = np.append(True, (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])) if len(rows) else np.empty(0, bool)
@@ -168,43 +181,66 @@ class Index:
         at, of = self._spans(self.slot_start[slot], self.slot_start[slot + 1])
         return np.bincount(self.example[at], self.weight[at] * weight[of], self.n_blocks * BLOCK)
 
-    def nearest(self, tf: dict[bytes, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of the k largest positive cosines (ties: the earlier in the index) and these cosines; never the example `without`."""
-        mine = [(x, c) for x, c in zip(map(self.words.get, tf), tf.values(), strict=True) if x is not None]
-        if not mine:
-            return np.empty(0, np.int64), np.empty(0)
-        # Words in one order, so that equal texts have equal sums.
-        word, count = np.array(sorted(mine), np.int64).T
-        weight = (1 + np.log(count)) * self.word_idf[word]
-        slot, of = self._spans(self.slots[word], self.slots[word + 1])
-        slot_weight, block = weight[of], self.slot_block[slot]
-        bound = np.bincount(block, self.slot_top[slot] * slot_weight, self.n_blocks)
-
-        def inside(blocks: np.ndarray) -> np.ndarray:
-            """Scores of the examples of these blocks."""
-            now = np.flatnonzero(blocks[block])
-            return self._sum(slot[now], slot_weight[now])
-
-        self.offered += self.n_blocks
+    def nearest(self, queries: list[dict[bytes, int]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the examples of the k largest positive cosines (ties: the earlier in the index) and these cosines.
+
+        without: an example that each query leaves out.
+        """
+        n, n_queries = self.n_blocks * BLOCK, len(queries)
+        wide, norm = np.zeros((n_queries, self.matrix.shape[1])), np.ones(n_queries)
+        bound, slots = np.zeros((n_queries, self.n_blocks)), []
+        for i, tf in enumerate(queries):
+            mine = [(x, c) for x, c in zip(map(self.words.get, tf), tf.values(), strict=True) if x is not None]
+            if not mine:
+                slots.append(None)
+                continue
+            word, count = np.array(mine, np.int64).T
+            weight = (1 + np.log(count)) * self.word_idf[word]
+            norm[i] = np.sqrt(weight @ weight)
+            at = self.common_of[word]
+            here = at >= 0
+            wide[i, at[here]] = weight[here]
+            word, weight = word[~here], weight[~here]
+            slot, of = self._spans(self.slots[word], self.slots[word + 1])
+            slots.append((slot, weight[of], self.slot_block[slot]))
+            bound[i] = np.bincount(slots[i][2], self.slot_top[slot] * slots[i][1], self.n_blocks)
+        if not n or not n_queries:
+            return [(np.empty(0, np.int64), np.empty(0))] * n_queries
+        bound += wide @ self.matrix_top
+        scores = np.zeros((n_queries, n))
+
+        def open_blocks(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(0)).tolist():
+                asking = np.flatnonzero(which[:, b])
+                scores[asking, b * BLOCK : (b + 1) * BLOCK] += wide[asking] @ self.matrix[b]
+            for i, mine in enumerate(slots):
+                if mine and len(mine[0]):
+                    now = np.flatnonzero(which[i][mine[2]])
+                    scores[i] += self._sum(mine[0][now], mine[1][now])
+            if without:
+                scores[np.arange(n_queries), without] = 0
+
         few = min(self.n_blocks, FIRST * -(-(k + 1) // BLOCK))
-        opened = np.zeros(self.n_blocks, bool)
-        opened[np.argpartition(-bound, few - 1)[:few]] = True
-        scores = inside(opened)
-        if without >= 0:
-            scores[without] = 0
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if k < len(scores) else 0.0
+        opened = np.zeros((n_queries, self.n_blocks), bool)
+        np.put_along_axis(opened, np.argpartition(-bound, few - 1, 1)[:, :few], True, 1)
+        open_blocks(opened)
+        least = np.partition(scores, n - k, 1)[:, n - k] if k < n else np.zeros(n_queries)
         # Rounding may put a bound a hair below a score it bounds.
-        more = ~opened & (bound > 0) & (bound * (1 + 1e-9) >= least)
-        if more.any():
-            scores += inside(more)
-            if without >= 0:
-                scores[without] = 0
+        more = ~opened & (bound > 0) & (bound * (1 + 1e-9) >= least[:, None])
+        open_blocks(more)
+        self.offered += n_queries * self.n_blocks
         self.opened += int(opened.sum() + more.sum())
-        best = np.flatnonzero(scores > 0)
-        if len(best) > k:
-            best = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-        best = best[np.lexsort((best, -scores[best]))][:k]
-        return best, np.minimum(scores[best] / np.sqrt(weight @ weight), 1.0)
+        out = []
+        # Sums of equal texts may differ in their last bits from batch to batch; their order must not.
+        cosines = np.minimum(np.round(scores / norm[:, None], 12), 1.0)
+        for own in cosines:
+            best = np.flatnonzero(own > 0)
+            if len(best) > k:
+                best = np.flatnonzero(own >= np.partition(own, n - k)[n - k])
+                best = best[own[best] > 0]
+            best = best[np.lexsort((best, -own[best]))][:k]
+            out.append((best, own[best]))
+        return out
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float | None:
         """Share of label 1 among the neighbours, each weighted by the inverse of its distance."""
@@ -237,18 +273,20 @@ class Model:
     def __init__(self, index: Index, prior: float, counts: list[dict[bytes, int]], k: int):
         self.index, self.prior, self.k = index, prior, k
         votes, labels = [], []
-        for i, tf in enumerate(counts):
-            v = index.vote(*index.nearest(tf, k, without=i))
-            if v is not None:
-                votes.append(v)
-                labels.append(int(index.labels[i]))
+        for a in range(0, len(counts), BATCH):
+            part = range(a, min(a + BATCH, len(counts)))
+            for i, found in zip(part, index.nearest([counts[i] for i in part], k, list(part)), strict=True):
+                v = index.vote(*found)
+                if v is not None:
+                    votes.append(v)
+                    labels.append(int(index.labels[i]))
         self.a, self.b = fit_calibration(np.array(votes), np.array(labels), prior)
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score, and the neighbours with their cosines."""
-        best, cosines = self.index.nearest(word_counts(text), self.k)
-        v = self.index.vote(best, cosines)
-        return (self.prior if v is None else float(1 / (1 + np.exp(-np.clip(self.a * v + self.b, -30, 30)))), best, cosines)
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The score of each text, and its neighbours with their cosines."""
+        for best, cosines in self.index.nearest([word_counts(x) for x in texts], self.k):
+            v = self.index.vote(best, cosines)
+            yield (self.prior if v is None else float(1 / (1 + np.exp(-np.clip(self.a * v + self.b, -30, 30)))), best, cosines)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_EXAMPLE_BYTES, k: int = NEIGHBOURS) -> Model:
@@ -266,15 +304,16 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, cut: float, own: list[str
     ids, labels = model.index.ids, model.index.labels
     for batch in batches:
         scores, rows, near, cosines = [], [], [], []
-        for i, text in enumerate(batch.column(text_col)):
-            one, best, cosine = model.score(text.as_py())
-            if clean_only and one >= cut:
-                continue
-            rows.append(i)
-            scores.append(one)
-            if evidence:
-                near.append(best)
-                cosines.append(cosine)
+        texts = batch.column(text_col)
+        for a in range(0, len(texts), BATCH):
+            for i, (one, best, cosine) in enumerate(model.score(texts.slice(a, BATCH).to_pylist()), a):
+                if clean_only and one >= cut:
+                    continue
+                rows.append(i)
+                scores.append(one)
+                if evidence:
+                    near.append(best)
+                    cosines.append(cosine)
         kept = batch.select(own)
         kept = kept if len(rows) == batch.num_rows else kept.take(pa.array(rows, pa.int64()))
         more = [pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())]
