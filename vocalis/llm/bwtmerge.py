@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
 from vocalis.llm.recompress import BASES, powers
-from vocalis.llm.shared import written
 
 WINDOW = 100
 #: Bytes of the first round's prefixes, of the context that makes a suffix a sampled one, and one in how many is.
@@ -131,7 +130,7 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
     in_order = rows.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text")
-    shards = written(exchange.blocks(in_order, SHARD_BYTES, ordered=True), "shards")
+    shards = exchange.stored(in_order, "shards", SHARD_BYTES)
     bits = exchange.bucket_bits(shards)
 
     def first(table: pa.Table) -> exchange.Question:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vocalis.llm.shared import input_bytes
+from vocalis.llm.shared import bucketed, input_bytes
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of compressed blocks for each bucket: at most, so that it fits in a task, and at least, so that rows between blocks and buckets stay few.
@@ -73,6 +73,11 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES, ordered: bool = False) -> D
     return docs.mapInArrow(lambda b: _blocks(b, size, ordered), BLOCKS)
 
 
+def stored(docs: DataFrame, name: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """blocks() of docs in a lasting order, written by block: in every later pass blocks stay where they are and answers come to them."""
+    return bucketed(blocks(docs, size, ordered=True), name, "block")
+
+
 def bucket_bits(kept: DataFrame) -> int:
     """Leading bits that name a bucket, from the size of the written blocks and the number of shuffle partitions."""
     parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -155,6 +160,40 @@ def answer(asks: DataFrame, kind: int, earlier: bool = False, narrow: bool = Fal
     return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
+#: Bits of a class of answer_counts, and the classes of an octave of counts.
+CLASS_BITS, CLASSES_AN_OCTAVE = 4, 2
+
+
+def answer_counts(asks: DataFrame, kind: int, narrow: bool = False) -> DataFrame:
+    """For each asked hash the class of the sum of its counts over all blocks: 0 for one, then more for more, up to the largest class.
+
+    The counts are the `extra` of the question, a byte each.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        owners = table.column("block").to_pylist()
+        parts = [np.frombuffer(x.as_py(), np.uint32 if narrow else np.uint64) for x in table.column("keys")]
+        keys = np.concatenate(parts)
+        counts = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint8)
+        order = np.argsort(keys, kind="stable")
+        new = np.append(True, keys[order][1:] != keys[order][:-1])
+        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+        found = np.minimum(np.rint(CLASSES_AN_OCTAVE * np.log2(np.maximum(total, 1))), (1 << CLASS_BITS) - 1).astype(np.uint8)
+        each = np.empty(len(keys), np.uint8)
+        each[order] = found[np.cumsum(new) - 1]
+        at = np.cumsum([0, *map(len, parts)])
+        bits = [np.packbits(np.unpackbits(each[a:b, None], axis=1)[:, -CLASS_BITS:].ravel()).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        n = len(bits)
+        return pa.table([pa.array(owners, pa.int64()), pa.array([kind] * n, pa.int32()), table.column("bucket").cast(pa.int32()), pa.array(bits, pa.binary())], names=["block", "kind", "bucket", "bits"])
+
+    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def classes_told(answers: pa.Table, kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The classes of answer_counts for a block's sorted hashes."""
+    return told(answers, kind, keys, bits, each=CLASS_BITS) @ (1 << np.arange(CLASS_BITS)[::-1])
+
+
 def answer_pairs(asks: DataFrame, kind: int) -> DataFrame:
     """For each asked (key, value), sorted so in its block, two bits: a block of a smaller name has it; the key has other values anywhere.
 

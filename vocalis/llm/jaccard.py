@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
-Documents with equal shingle sets are one node. Shingles that no other node has come first in the global
-order of shingles, so a node is settled as soon as they fill its prefix; what is left are nodes made of
-repeated text. These are partitioned into groups by their prefixes. Inside a group, links are verified with
+Documents with equal shingle sets are one node. Rare shingles come first in the global order of shingles, in
+classes of how many nodes have them, so a node is settled as soon as those that no other node has fill its
+prefix; what is left are nodes made of repeated text, which meet in the rarest of it. These are partitioned into groups by their prefixes. Inside a group, links are verified with
 the group's pivot, then among the members that fail. What is joined by then and fills a block is a group of its
 own; the rest stay with their first group. Across groups, a matrix of prefix shingles by groups
 tells which groups a node may reach at all; of each such block of a group, first counts of shingle classes and
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
 from vocalis.llm.recompress import BASES, rolling, word_names
-from vocalis.llm.shared import components, written
+from vocalis.llm.shared import bucketed, components, drop, written
 
 WORDS, PERCENT = 4, 85
 #: Members of one block of a group.
@@ -76,11 +76,11 @@ class _Block:
             self.rows.setdefault(node, []).append(row)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles, and which are in several sets here."""
+        """Distinct shingles, and in how many sets here each is, up to 255."""
         if not self.sets:
-            return np.empty(0, np.uint64), np.empty(0, bool)
+            return np.empty(0, np.uint64), np.empty(0, np.uint8)
         keys, count = np.unique(np.concatenate(list(self.sets.values())), return_counts=True)
-        return keys, count > 1
+        return keys, np.minimum(count, 255).astype(np.uint8)
 
 
 def _sets(blobs: pa.ChunkedArray) -> list[np.ndarray]:
@@ -250,28 +250,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other id is reached. Repeated rows link with each other; other columns are not read; no rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kept = written(exchange.blocks(rows, ordered=True), "blocks")
+    kept = exchange.stored(rows, "blocks")
     bits = exchange.bucket_bits(kept)
 
     def left(_: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, words)
-        keys, several = block.tokens()
-        shared = several | exchange.told(answers, 1, keys, bits)
+        keys, _ = block.tokens()
+        rarity = exchange.classes_told(answers, 1, keys, bits)
         out = [{"node": None, "n": 0, "ids": block.rows[None]}] if None in block.rows else []
         for node, mine in block.sets.items():
-            ours = shared[np.searchsorted(keys, mine)]
-            n = len(mine)
-            room = n - needed(n, percent) + 1 - int((~ours).sum())
+            rare = rarity[np.searchsorted(keys, mine)]
+            n, alone = len(mine), int((rare == 0).sum())
+            room = n - needed(n, percent) + 1 - alone
             row = {"node": node, "n": n, "ids": block.rows[node]}
             if room > 0:
-                row |= {"prefix": mine[ours][:room].view(np.int64), "shingles": mine.tobytes(), "classes": class_counts(mine).tobytes()}
+                first = mine[np.argsort(rare, kind="stable")[alone : alone + room]]
+                row |= {"prefix": first.view(np.int64), "shingles": mine.tobytes(), "classes": class_counts(mine).tobytes()}
             out.append(row)
         return pa.Table.from_pylist(out, pa.schema([("node", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("classes", pa.binary())]))
 
-    answers = exchange.answer(exchange.ask(kept, lambda t: (_Block(t, words).tokens()[0], None), bits, narrow=True), 1, narrow=True)
+    answers = exchange.answer_counts(exchange.ask(kept, lambda t: _Block(t, words).tokens(), bits, narrow=True), 1, narrow=True)
     nodes = written(exchange.with_answers(kept, answers, left, NODES), "nodes")
     todo = nodes.where("prefix IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"), F.first("classes").alias("classes"))
-    labels = components(find_links(written(todo, "left"), percent))
+    # Their sets are large and needed in several joins: they move to the buckets of their nodes once.
+    todo = bucketed(todo, "left", "node")
+    drop(kept)
+    labels = components(find_links(todo, percent))
+    drop(todo)
     least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.array_min("ids")).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     final = least.select("node", "label").join(least.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("node", "component_id")
     linked_rows = nodes.where("node IS NOT NULL").select("node", "n", "ids").join(final, "node").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

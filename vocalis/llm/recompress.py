@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.shared import cache_of, written
+from vocalis.llm.shared import cache_of
 
 WINDOW = 35
 ROUNDS = 4
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in own), *ADDED.fields])
     # Written once: blocks keep their rows and names in every pass. Names are places, so that equal blocks count twice.
-    kept = written(exchange.blocks(rows, ordered=True), "blocks")
+    kept = exchange.stored(rows, "blocks")
     bits = exchange.bucket_bits(kept)
 
     def first(table: pa.Table) -> exchange.Question:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,13 @@ _CACHES: dict[str, Callable[[], None]] = {}
 
 
 def cache_of(name: str, clear: Callable[[], None]) -> None:
-    """Called where an operator's work on a partition begins: caches that other operators left in this worker are emptied."""
-    for other in [x for x in _CACHES if x != name]:
+    """Called where an operator's work on a partition begins: what other operators hold in this worker is given back."""
+    others = [x for x in _CACHES if x != name]
+    for other in others:
         _CACHES.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _CACHES[name] = clear
 
 
@@ -53,16 +59,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written(), with the rows of a key in one bucket in order: joins on the key do not move them again."""
+    spark = df.sparkSession
+    path, table = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", f"vocalis_{name}_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
+    out = spark.table(table)
+    out._written_at, out._table = path, table
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
+    """Deletes tables of written() and bucketed() that nothing reads any more, and lets go of the shuffles behind them."""
     for t in tables:
+        if "_table" in t.__dict__:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._table}")
         where, files = _at(t.sparkSession, t._written_at)
         files.delete(where, True)
+    # Shuffle files go when the driver's JVM finds that no plan refers to them.
+    gc.collect()
+    for spark in {t.sparkSession for t in tables}:
+        spark._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The size of a written table's files, as the optimizer knows it; nothing is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The size of the files of a table of written() or bucketed(); nothing is read."""
+    where, files = _at(df.sparkSession, df._written_at)
+    return int(files.getContentSummary(where).getLength())
 
 
 def components(links: DataFrame) -> DataFrame:
