@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from vocalis.llm.shared import cache_of
 
-#: Pre-tokens in a leaf when a tree is built.
-LEAF = 64
+#: Pre-tokens in a leaf when a tree is built, and how many times as many make it too large.
+LEAF, LARGE = 64, 8
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
 
@@ -57,20 +57,35 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
+Leaf = tuple[list[str], list[int]]
+
+
 class TokenTree:
-    """A document's text as leaves of pre-tokens below a tree of (characters, tokens) sums.
+    """A document's text as leaves of pre-tokens, with the token count of each, below a tree of (characters, tokens) sums.
 
     The tree is a binary heap over a power-of-two number of leaf slots: an edit rebuilds the leaves it
-    touches and then the sums on their paths to the root, nothing else.
+    touches and then the sums on their paths to the root, nothing else. When edits have made a leaf too
+    large, its pre-tokens and all others are dealt to leaves anew, none encoded again.
     """
 
-    def __init__(self, text: str, count: Counter):
+    def __init__(self, text: str, count: Counter, leaves: list[Leaf] | None = None):
         self.count = count
         self.encoded = 0
-        pieces = count.split.findall(text)
-        self.leaves: list[list[str]] = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.slots = 1 << (len(self.leaves) - 1).bit_length()
-        self.leaves += [[] for _ in range(self.slots - len(self.leaves))]
+        if leaves is None:
+            pieces = count.split.findall(text)
+            leaves = self._dealt(pieces, [count[p] for p in pieces])
+        self._build(leaves)
+
+    @staticmethod
+    def _dealt(pieces: list[str], counts: list[int]) -> list[Leaf]:
+        return [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)]
+
+    def _build(self, leaves: list[Leaf]) -> None:
+        leaves = leaves or [([], [])]
+        self.slots = 1 << (len(leaves) - 1).bit_length()
+        empty = [[] for _ in range(self.slots - len(leaves))]
+        self.leaves: list[list[str]] = [list(x) for x, _ in leaves] + empty
+        self.counts: list[list[int]] = [list(n) for _, n in leaves] + [[] for _ in empty]
         self.chars = [0] * (2 * self.slots)
         self.tokens = [0] * (2 * self.slots)
         for i in range(self.slots):
@@ -79,9 +94,8 @@ class TokenTree:
             self._sum(i)
 
     def _leaf(self, i: int) -> None:
-        own = self.leaves[i]
-        self.chars[self.slots + i] = sum(map(len, own))
-        self.tokens[self.slots + i] = sum(map(self.count.__getitem__, own))
+        self.chars[self.slots + i] = sum(map(len, self.leaves[i]))
+        self.tokens[self.slots + i] = sum(self.counts[i])
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -173,13 +187,17 @@ class TokenTree:
             want *= 2
         self.encoded += len(fresh)
         last = pieces[-1][0] if pieces else leaf
-        tail = self.leaves[last][pieces[-1][1] + 1 :] if pieces else []
-        head = self.leaves[leaf][:k]
+        after = pieces[-1][1] + 1 if pieces else len(self.leaves[leaf])
+        whole = self.leaves[leaf][:k] + fresh + self.leaves[last][after:]
+        counts = self.counts[leaf][:k] + [self.count[p] for p in fresh] + self.counts[last][after:]
         touched = list(range(leaf, last + 1))
-        whole = head + fresh + tail
         per = -(-len(whole) // len(touched)) if whole else 0
         for j, i in enumerate(touched):
-            self.leaves[i] = whole[j * per : (j + 1) * per]
+            self.leaves[i], self.counts[i] = whole[j * per : (j + 1) * per], counts[j * per : (j + 1) * per]
+        if per > LARGE * LEAF:
+            self._build(self._dealt([p for x in self.leaves for p in x], [n for x in self.counts for n in x]))
+            return
+        for i in touched:
             self._leaf(i)
         nodes = {(self.slots + i) // 2 for i in touched} - {0}
         while nodes:
@@ -188,6 +206,12 @@ class TokenTree:
             nodes = {i // 2 for i in nodes} - {0}
 
 
+def _apply(tree: TokenTree, edits: list | None) -> None:
+    for e in edits or []:
+        if e is not None:
+            tree.edit(max(0, e["start"] or 0), max(0, e["end"] or 0), e["new"] or "")
+
+
 def _edited(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     count = counter(path)
     for batch in batches:
@@ -195,14 +219,59 @@ def _edited(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for doc, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             tree = TokenTree(text.as_py() or "", count)
             before = tree.n_tokens
-            for e in edits or []:
-                if e is not None:
-                    tree.edit(max(0, e["start"] or 0), max(0, e["end"] or 0), e["new"] or "")
+            _apply(tree, edits)
             out.append((doc, before, tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded, tree.chars[1]))
         columns = list(zip(*out, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "tokens_before", "tokens_after", "pretokens_after", "pretokens_encoded", "chars_after"])
 
 
+#: A tree as it is kept: its leaves in order.
+TREE = T.ArrayType(T.StructType().add("pieces", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.IntegerType())))
+_EDITS = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("new", "string"))
+_KEPT = pa.list_(pa.struct([("pieces", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))]))
+_TREE_ROWS = T.StructType().add("doc_id", "long").add("tree", TREE).add("n_tokens", "long").add("pretokens_encoded", "long")
+
+
+def _kept(rows: list[tuple[object, TokenTree]]) -> pa.RecordBatch:
+    trees = [[{"pieces": x, "counts": n} for x, n in zip(t.leaves, t.counts, strict=True) if x] for _, t in rows]
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(trees, _KEPT), pa.array([t.n_tokens for _, t in rows], pa.int64()), pa.array([t.encoded for _, t in rows], pa.int64())], _TREE_ROWS.names)
+
+
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, tree, n_tokens, pretokens_encoded): each document's tree, to be kept in a table and edited there.
+
+    Null and empty texts have a tree without leaves; repeated rows stay; other columns are not read; no rows give no rows.
+    """
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            yield _kept([(d, TokenTree(x.as_py() or "", count)) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _TREE_ROWS)
+
+
+def edit_trees(trees: DataFrame, edits_col: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """token_trees' rows with edits applied to the kept trees: no text is cut or encoded beyond what the edits touch.
+
+    pretokens_encoded counts what was encoded again. A null tree is one of an empty text; edits as in count_after_edits.
+    """
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for batch in batches:
+            out = []
+            for doc, kept, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                tree = TokenTree("", count, [(x["pieces"], x["counts"]) for x in kept.as_py() or []])
+                _apply(tree, edits)
+                out.append((doc, tree))
+            yield _kept(out)
+
+    return trees.select("doc_id", "tree", F.col(edits_col).cast(_EDITS)).mapInArrow(run, _TREE_ROWS)
+
+
 def count_after_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tokenizer: str | None = None) -> DataFrame:
     """doc_id, tokens_before, tokens_after, pretokens_after, pretokens_encoded, chars_after, all long.
 
@@ -212,7 +281,7 @@ def count_after_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are none, 0, 0 and empty; repeated rows stay; other columns are not read; no rows give no rows.
     """
     path = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(edits_col).cast(T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("new", "string"))))
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(edits_col).cast(_EDITS))
     return rows.mapInArrow(lambda b: _edited(b, path), "doc_id long, tokens_before long, tokens_after long, pretokens_after long, pretokens_encoded long, chars_after long")
 
 
