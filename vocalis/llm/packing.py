@@ -24,6 +24,8 @@ MAX_SEGMENTS = 256
 WINDOW_ITEMS, WINDOW_TOKENS = 2048, 1 << 22
 #: Bins with no more free tokens than this are closed at the end of a window; others go to the next.
 CLOSE_GAP = 64
+#: Share of any limit from which a bin of whole examples is closed at the end of a window.
+CLOSE_SHARE = 0.98
 END_OF_DOCUMENT = 2
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -196,22 +198,53 @@ def _examples(batches: Iterator[pa.RecordBatch], limits: tuple[int, int, int]) -
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 33
     cap = np.array(limits, float)
+    ids: list[object] = []
+    need = np.empty((0, 3))
+
+    def close(last: bool) -> pa.RecordBatch:
+        """Bins that are full in some measure, or all; the others' examples stay for the next window."""
+        nonlocal ids, need, number
+        bins = dot_product_bins(need, cap)
+        filled = [float((need[own].sum(0) / cap).max()) for own in bins]
+        # Few open bins are kept, so that a window's work is bounded.
+        if last or sum(len(own) for own, f in zip(bins, filled, strict=True) if f < CLOSE_SHARE) > WINDOW_ITEMS // 2:
+            filled = [1.0] * len(bins)
+        out, keep = [], []
+        for own, f in zip(bins, filled, strict=True):
+            if f >= CLOSE_SHARE:
+                out += [(ids[i], number) for i in own]
+                number += 1
+            else:
+                keep += own
+        keep.sort()
+        ids, need = [ids[i] for i in keep], need[keep]
+        return rows(out)
+
+    def rows(out: list[tuple[object, int | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], ["example_id", "bin_id"])
+
     for batch in batches:
-        need = np.array([[x or 0 for x in batch.column(i).to_pylist()] for i in (1, 2, 3)], float).T.reshape(-1, 3)
-        fits = (need <= cap).all(1)
-        of = np.full(len(need), -1, np.int64)
-        where = np.flatnonzero(fits)
-        for own in dot_product_bins(need[where], cap):
-            of[where[own]] = number
-            number += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of, mask=~fits)], ["example_id", "bin_id"])
+        mine = np.array([[max(0, x or 0) for x in batch.column(i).to_pylist()] for i in (1, 2, 3)], float).T.reshape(-1, 3)
+        fits = (mine <= cap).all(1)
+        names = batch.column(0).to_pylist()
+        if not fits.all():
+            yield rows([(names[i], None) for i in np.flatnonzero(~fits)])
+        for a in range(0, len(mine), WINDOW_ITEMS):
+            take = np.flatnonzero(fits[a : a + WINDOW_ITEMS]) + a
+            ids += [names[i] for i in take]
+            need = np.concatenate([need, mine[take]])
+            if len(ids) >= WINDOW_ITEMS:
+                yield close(False)
+    if ids:
+        yield close(True)
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, segments_col: str, loss_col: str, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = CAPACITY) -> DataFrame:
     """Whole instruction examples to bins: example_id long, bin_id long.
 
-    The same heuristic without cutting, by Arrow batch. Null sizes count as 0; an example over a limit
-    gets a null bin_id; repeated rows are placed once each; no rows give no rows.
+    The same heuristic without cutting, by windows of a partition: bins that no measure fills to CLOSE_SHARE go
+    on into the next window. Null and negative sizes count as 0; an example over a limit gets a null bin_id;
+    repeated rows are placed once each; other columns are not read; no rows give no rows.
     """
     rows = examples.select(F.col(id_col).cast("long"), *(F.col(c).cast("long") for c in (tokens_col, segments_col, loss_col)))
     return rows.mapInArrow(lambda b: _examples(b, (capacity, max_segments, max_loss)), "example_id long, bin_id long")
