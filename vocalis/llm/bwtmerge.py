@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.recompress import BASES, powers
+from vocalis.llm.recompress import BASES, CHECK_SALT, Prefixes
 
 WINDOW = 100
 #: Bytes of the first round's prefixes, of the context that makes a suffix a sampled one, and one in how many is.
@@ -31,22 +31,6 @@ SHARD_BYTES = 1 << 20
 
 ADDED = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-class Prefixes:
-    """Hashes of any substrings of some bytes, from one running sum."""
-
-    def __init__(self, data: np.ndarray, base: int, salt: int = 0):
-        n = len(data)
-        self.up, down = powers(base, 1 << max(1, n.bit_length()))
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(_BYTES ^ np.uint64(salt))[data] * down[:n], dtype=np.uint64, out=self.sum[1:])
-
-    def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sum[start + length] - self.sum[start]) * self.up[start])
-
-
 class _Shard:
     def __init__(self, table: pa.Table, window: int):
         self.texts = [(x.as_py() or "").encode() for x in table.column("_text")]
@@ -106,12 +90,12 @@ class _Shard:
     def pairs(self, suffix: np.ndarray, first: np.ndarray, whole: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
         """The prefix's name, and that of all bytes the suffix's windows cover; of windows not all open, one like no other."""
         size = np.where(whole, suffix - first + self.window - 1, 0)
-        covered = Prefixes(self.data, BASES[1], 0x5DEECE66D).at(first, size) + mix(size.astype(np.uint64))
+        covered = Prefixes(self.data, BASES[1], CHECK_SALT).at(first, size) + mix(size.astype(np.uint64))
         single = mix(mix(suffix.astype(np.uint64) + np.uint64(1)) + np.uint64(name))
         return self.one.at(suffix, PREFIX), np.where(whole, covered, single)
 
     def check(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (Prefixes(self.data, BASES[1], 0x5DEECE66D).at(at, length) >> np.uint64(32)).astype(np.uint32)
+        return Prefixes(self.data, BASES[1], CHECK_SALT).at(at, length)
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -122,7 +106,8 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a character. Matches never cross documents; null and empty texts have no bytes; documents of null id
     come first, and rows of one id follow each other in order of their texts, so of repeated rows the first
     stays; columns of docs that bear one of the four names are replaced; no rows give no rows. window is at
-    least 64. String equality is decided by 96 hash bits.
+    least 64. Strings are equal if 64 bits of one hash and 32 (64 inside
+    a shard) of another are; both are of the bytes.
     """
     if window < 2 * PREFIX:
         raise ValueError(f"window is {window}, {2 * PREFIX} is the least")
@@ -174,13 +159,15 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def third(name: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         s, _, left = round_three(name, table, answers)
-        keys, at, _, _ = s.named(s.one.at(left, window))
-        return pa.Table.from_batches([exchange.asked(name, (keys, s.check(left[at], window)), bits)])
+        keys, check = s.one.at(left, window), s.check(left, window)
+        at = exchange.distinct(keys, check)[0]
+        return pa.Table.from_batches([exchange.asked(name, (keys[at], (check[at] >> np.uint64(32)).astype(np.uint32)), bits)])
 
     def last(name: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         s, settled, left = round_three(name, table, answers)
-        keys, at, of, _ = s.named(s.one.at(left, window))
-        again = exchange.told(answers, 3, keys, bits)[of] | (at[of] != np.arange(len(left)))
+        keys = s.one.at(left, window)
+        at, of, _, earliest = exchange.distinct(keys, s.check(left, window))
+        again = exchange.told(answers, 3, keys[at], bits)[of] | ~earliest
         step = np.zeros(len(s.data) + 1, np.int64)
         starts = np.append(np.flatnonzero(settled), left[again])
         np.add.at(step, starts, 1)

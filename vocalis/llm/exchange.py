@@ -93,6 +93,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashes with a second hash: one place of each distinct pair in order, the pair of each place, places of each pair, and whether each is the earliest."""
+    if not len(keys):
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, bool)
+    order = np.lexsort((check, keys))
+    new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1]))
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    # lexsort is stable: the first of a pair in order is its first place.
+    first = order[new]
+    earliest = np.zeros(len(keys), bool)
+    earliest[first] = True
+    return first, of, np.bincount(of), earliest
+
+
 Question = tuple[np.ndarray, np.ndarray | None]
 
 

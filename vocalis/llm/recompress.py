@@ -57,8 +57,23 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-# Odd 64-bit multipliers of the two window hashes.
+# Odd 64-bit multipliers of the two window hashes, and what sets the check's bytes apart.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+CHECK_SALT = 0x5DEECE66D
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Prefixes:
+    """Hashes of any substrings of some bytes, from one running sum."""
+
+    def __init__(self, data: np.ndarray, base: int, salt: int = 0):
+        n = len(data)
+        self.up, down = powers(base, 1 << max(1, n.bit_length()))
+        self.sum = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(_BYTES ^ np.uint64(salt))[data] * down[:n], dtype=np.uint64, out=self.sum[1:])
+
+    def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix((self.sum[start + length] - self.sum[start]) * self.up[start])
 
 
 def rolling(names: np.ndarray, window: int, base: int) -> np.ndarray:
@@ -155,11 +170,20 @@ class _Block:
         return np.flatnonzero(ok & (np.cumsum(out[:n]) <= 0))
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct window hashes, check hashes, which occur twice here, and each window's number."""
+        """Distinct windows' hashes, check hashes, which occur twice here, and each window's number.
+
+        The first hash is of the words' names, the check of the words' bytes: a collision of names passes only the first.
+        """
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, bool), at
         one = rolling(self.names, self.window, BASES[0])[at]
-        two = (rolling(mix(self.names), self.window, BASES[1])[at] >> np.uint64(32)).astype(np.uint32)
-        keys, first, of, count = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-        return keys, two[first], count > 1, of
+        line = [w for words in self.words for w in words]
+        ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
+        data = Prefixes(np.frombuffer(b" ".join(line), np.uint8), BASES[1], CHECK_SALT)
+        begins = np.append(0, ends[:-1])[at]
+        two = data.at(begins, ends[at + self.window - 1] - 1 - begins)
+        first, of, count, _ = exchange.distinct(one, two)
+        return one[first], (two[first] >> np.uint64(32)).astype(np.uint32), count > 1, of
 
     def removed(self, at: np.ndarray) -> np.ndarray:
         cover = np.zeros(self.n + 1, np.int64)
@@ -175,7 +199,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     that covers it also starts anywhere else, in the same document too. Null and empty texts have no words;
     a text shorter than a window keeps all; repeated rows remove each other; columns of docs that bear one
     of the three names are replaced; no rows give no rows. With whole_as_is,
-    a text that loses nothing is returned as it was. Window equality is decided by 96 hash bits.
+    a text that loses nothing is returned as it was. Windows are equal if 64 bits of a hash of the words' own
+    hashes and 32 bits (128 in all inside a block) of another of their bytes are.
     """
     own = [c for c in docs.columns if c not in (*ADDED.names, "_text", text_col)]
     rows = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
