@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalis.llm import bwtmerge, chat, decontaminate, editcount, exchange, html, itq, jaccard, packing, recompress, tokens, toxicity
+from vocalis.llm import bwtmerge, chat, decontaminate, editcount, exchange, html, interleave, itq, jaccard, packing, recompress, tokens, toxicity
 
 WORDS = ["the", "of", "thing", "and", "été", "stone", "River,", "x9", "a", "moon."]
 
@@ -92,6 +92,23 @@ def test_example_bins_keep_all_limits(spark):
     assert all(sum(x[0] or 0 for x in b) <= 2048 and sum(x[1] for x in b) <= 16 and sum(x[2] for x in b) <= 1000 for b in bins.values())
 
 
+def test_examples_fill_bins_across_windows(spark, monkeypatch):
+    """Each of the three limits binds for some examples; no bin breaks one, and few stay half empty."""
+    monkeypatch.setattr(packing, "WINDOW_ITEMS", 64)
+    rng = random.Random(9)
+    kinds = [lambda: (rng.randint(300, 900), 1, rng.randint(1, 50)), lambda: (rng.randint(1, 20), rng.randint(2, 6), 1), lambda: (rng.randint(150, 300), 1, rng.randint(140, 150))]
+    rows = [(i, *rng.choice(kinds)()) for i in range(1500)]
+    got = packing.pack_examples(spark.createDataFrame(rows, "i long, t long, s long, l long").coalesce(1), "i", "t", "s", "l", 2048, 16, 600).collect()
+    size, bins = {r[0]: np.array(r[1:]) for r in rows}, {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(size[r.example_id])
+    limits = np.array([2048, 16, 600])
+    full = np.array([sum(b) / limits for b in bins.values()])
+    assert sorted(r.example_id for r in got) == list(range(1500)) and (full <= 1).all()
+    assert len(bins) <= 1.15 * max(sum(size.values()) / limits) and (full.max(1) < 0.9).mean() < 0.1
+    assert (full >= 0.9).any(0).all()
+
+
 def test_edit_trees_equal_full_counts():
     from tokenizers import Tokenizer
 
@@ -112,6 +129,29 @@ def test_edit_trees_equal_full_counts():
             assert tree.text() == s and tree.n_tokens == len(full.encode(s, add_special_tokens=False).ids)
 
 
+def test_large_insertions_split_leaves():
+    c = editcount.counter(editcount.default_tokenizer())
+    tree = editcount.TokenTree("start end", c)
+    tree.edit(5, 5, " word" * 5000)
+    assert max(map(len, tree.leaves)) <= editcount.LEAF * editcount.LARGE and tree.n_tokens == editcount.TokenTree(tree.text(), c).n_tokens
+    spent = tree.encoded
+    tree.edit(10_000, 10_003, "x")
+    assert tree.encoded - spent < 60 and tree.n_tokens == editcount.TokenTree(tree.text(), c).n_tokens
+
+
+def test_kept_trees_follow_edits(spark):
+    rows = corpus()
+    docs = frame(spark, rows).withColumn("edits", editcount.standard_edits())
+    trees = editcount.token_trees(docs)
+    key_of = trees.withColumn("k", F.monotonically_increasing_id())
+    assert key(trees.select("doc_id", "n_tokens").collect()) == key(editcount.count_after_edits(docs).select("doc_id", "tokens_before").collect())
+    edits = F.expr("array(struct(2 AS start, 4 AS end, 'new words' AS new), null, struct(null AS start, null AS end, null AS new))")
+    edited = editcount.edit_trees(key_of.withColumn("edits", edits)).collect()
+    want = editcount.count_after_edits(docs.withColumn("edits", edits)).collect()
+    assert key((r.doc_id, r.n_tokens, r.pretokens_encoded) for r in edited) == key((r.doc_id, r.tokens_after, r.pretokens_encoded) for r in want)
+    assert editcount.token_trees(docs.limit(0)).count() == 0 and editcount.edit_trees(trees.limit(0).withColumn("edits", F.lit(None))).count() == 0
+
+
 def test_edit_query_counts(spark):
     rows = frame(spark, corpus())
     got = editcount.count_after_edits(rows.withColumn("edits", editcount.standard_edits())).collect()
@@ -479,4 +519,167 @@ def test_pipeline_stages_take_effect(spark):
     e = p.drop_contaminated(spark, docs, d)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{d}/benchmark.parquet")).where("n_hit = 0")
     assert sorted(r.doc_id for r in e.collect()) == sorted(r.doc_id for r in found.collect())
-    assert p.run(spark, d).count() > 0
+
+
+def pipeline_rows():
+    """Documents with toxic ones, near copies, a shared passage, benchmark text, odd rows; labels; benchmark."""
+    rng = random.Random(31)
+    own = [f"k{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(own) for _ in range(n))
+    docs, labels, item, passage = [], [], text(14), text(60)
+    for i in range(240):
+        words = text(70).split()
+        if i % 6 == 0:
+            for _ in range(6):
+                words.insert(rng.randint(0, len(words)), rng.choice(["vile", "rotten", "nasty"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    docs += [(1000 + i, f"{text(50)} {passage} {text(30)}") for i in range(4)]
+    docs += [(1100 + i, f"{text(40)} {item} {text(40)}") for i in range(3)]
+    base = text(90)
+    docs += [(1200 + i, base + f" tail{i}") for i in range(5)] + [(1300, "word"), (1301, ""), (1302, None), (1303, None), (None, text(20)), (1, text(80)), (1304, text(40)), (1304, text(40))]
+    twin = text(60)
+    docs += [(1400, twin), (1400, twin), (1401, text(20_000))]
+    return docs, labels, [("q", item), ("empty", ""), (None, None)]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs, labels, bench = pipeline_rows()
+    d = str(tmp_path)
+    frame_of = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame_of.repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    # Toxicity by all pairs: cosines over the examples' words, the 31 nearest, the fitted curve.
+    model = toxicity.fit(table, spark.read.parquet(f"{d}/labels.parquet"))
+    ix, texts = model.index, {}
+    for i, t in docs:
+        texts[i] = min(x for j, x in docs if j == i and x is not None) if t is not None else texts.get(i)
+    idf = {}
+    counts = [toxicity.word_counts(t) for _, t in docs]
+    for w in ix.words:
+        idf[w] = float(np.log((1 + len(docs)) / (1 + sum(w in c for c in counts))) + 1)
+
+    def unit(c):
+        v = {w: (1 + np.log(n)) * idf[w] for w, n in c.items() if w in idf}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    examples = [unit(toxicity.word_counts(texts[i])) for i in ix.ids.tolist()]
+    kept = []
+    for (i, t), c in zip(docs, counts, strict=True):
+        q = unit(c)
+        cosine = np.round([sum(x * e.get(w, 0.0) for w, x in q.items()) for e in examples], 12)
+        best = [j for j in np.lexsort((np.arange(len(cosine)), -cosine))[: model.k] if cosine[j] > 0]
+        if best:
+            w = 1 / (1 - np.minimum(cosine[best], 1) + toxicity.NEAREST)
+            vote = (w * ix.labels[best]).sum() / w.sum()
+            score = 1 / (1 + np.exp(-(model.a * vote + model.b)))
+        else:
+            score = sum(y for j, y in labels if zlib.crc32(str(j).encode()) % 5) / sum(1 for j, _ in labels if zlib.crc32(str(j).encode()) % 5)
+        if score < 0.5:
+            kept.append((i, t))
+    gone = {i for i, _ in docs} - {i for i, _ in kept}
+    assert gone and all(i % 6 == 0 for i in gone)
+    got = p.drop_toxic(spark, table, d)
+    assert key(got.select("doc_id", "text").collect()) == key(kept)
+    # One of each component, then repeats, then windows of the benchmark, then packing: each piece of each kept text.
+    hashes = {(r.doc_id, r.text): r.h for r in table.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    components: dict = {}
+    n = len(kept)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in kept]
+    up = list(range(n))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(n):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    for k, row in enumerate(kept):
+        components.setdefault(top(k), []).append(row)
+    kept = list({min(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r])) for rows in components.values()})
+    stage = p.drop_near_copies(spark, got, d)
+    assert key(stage.select("doc_id", "text").collect()) == key(kept) and (1, docs[1][1]) in kept
+    done = []
+    for (i, t), (words, removed, _) in zip(kept, recompress.brute_force([t for _, t in kept]), strict=True):
+        done.append((i, t, words, removed))
+    seen: dict = {}
+    for _, t, *_ in done:
+        w = (t or "").split()
+        for k in range(len(w) - 34):
+            seen[tuple(w[k : k + 35])] = seen.get(tuple(w[k : k + 35]), 0) + 1
+    kept = []
+    for i, t, words, removed in done:
+        w, mark = (t or "").split(), [False] * words
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                mark[k : k + 35] = [True] * 35
+        if not removed or removed < words:
+            kept.append((i, " ".join(x for x, m in zip(w, mark, strict=True) if not m) if removed else t))
+    assert sum(removed for *_, removed in done) >= 4 * 60
+    stage = p.drop_repeats(spark, stage, d)
+    assert key(stage.select("doc_id", "text").collect()) == key(kept)
+    assert all(r.n_chars == len(r.text or "") for r in stage.collect())
+    item = tuple(decontaminate.normal(bench[0][1]).split())
+    windows = {item[k : k + 10] for k in range(len(item) - 9)}
+    clean = []
+    for i, t in kept:
+        w = decontaminate.normal(t).split()
+        if not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9)):
+            clean.append((i, t))
+    assert len(kept) - len(clean) == 3
+    e = tokens.encoder(tokens.default_tokenizer())
+    want = sorted((str(i), len(e.whole(t or "")) // 4 + 1) for i, t in clean)
+    by: dict = {}
+    packed = p.run(spark, d).collect()
+    for r in packed:
+        by.setdefault((str(r.doc_id), r.doc_tokens), []).append(r)
+    total = sorted((i, n) for i, n in by for _ in range(sum(x.length for x in by[i, n]) // n))
+    assert total == want
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """No rows, no labels, no benchmark, and further columns with the names that operators add."""
+    import corpus_pipeline as p
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    names = ["score", "predicted", "_text", "n_words", "n_removed", "kept_text", "n_hit", "spans", "items", "_found", "key", "kept", "node"]
+    rows = [(i, t) for i, t in corpus(3)]
+    docs = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, n_chars long").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and out.count() > 0
+        assert out.where("doc_id IS NOT NULL AND NOT (" + " AND ".join(f"{c} = concat('{c}', doc_id)" for c in names) + ")").count() == 0
+        assert stage(spark, docs.limit(0), d).count() == 0
+    assert p.drop_toxic(spark, docs, d).count() == p.drop_contaminated(spark, docs, d).count() == docs.count()
+    assert p.pack(spark, docs.limit(0), d).count() == 0
+
+
+def test_merged_transforms_give_the_same_copies(spark, monkeypatch):
+    """The published merge, brute force and the operator agree."""
+    rng = random.Random(3)
+    for per_shard in (1, 7, 100):
+        texts = [t.encode() for _, t in sorted((i, t or "") for i, t in corpus(8) if i is not None)][:60]
+        texts = [t[:900] for t in texts] + [bytes(rng.choice(b"ab") for _ in range(200)) for _ in range(3)]
+        for window in (12, 100):
+            gone = interleave.later_copies(texts, window, per_shard)
+            want = bwtmerge.brute_force([t.decode() for t in texts], window) if all(len(t.decode(errors="ignore").encode()) == len(t) for t in texts) else None
+            seen: set = set()
+            for t, g in zip(texts, gone, strict=True):
+                mark = np.zeros(len(t), bool)
+                for i in range(len(t) - window + 1):
+                    if t[i : i + window] in seen:
+                        mark[i : i + window] = True
+                    seen.add(t[i : i + window])
+                assert (mark == g).all()
+            assert want is None or [w[1] for w in want] == [int(g.sum()) for g in gone]

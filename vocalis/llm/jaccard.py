@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,9 @@ WORDS, PERCENT = 4, 85
 #: Members of one block of a group.
 GROUP_BLOCK = 256
 
-NODES = "node binary, n long, ids array<long>, prefix array<long>, shingles binary, classes binary"
+#: A row of the input: its id, and what tells it from others of the same id if asked for.
+ROW = "struct<none: boolean, id: long, key: long>"
+NODES = f"node binary, n long, rows array<{ROW}>, prefix array<long>, shingles binary, classes binary"
 #: Classes of shingles whose counts bound overlaps before any set is sent.
 CLASSES = 128
 
@@ -68,7 +70,7 @@ class _Block:
     def __init__(self, table: pa.Table, words: int):
         self.sets: dict[bytes, np.ndarray] = {}
         self.rows: dict[bytes | None, list] = {}
-        for row, x in zip(table.column("_id").to_pylist(), table.column("_text"), strict=True):
+        for row, x in zip(table.column("_row").to_pylist(), table.column("_text"), strict=True):
             s = shingles(x.as_py(), words)
             node = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
             if node is not None:
@@ -240,7 +242,7 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, key: Column | None = None) -> DataFrame:
     """(doc_id long, n_shingles long, component_id long) of every row.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct `words`-word
@@ -248,8 +250,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest doc_id that links reach. A text without words, or null, has no shingles, links with
     nothing and is its own component. A null doc_id is larger than any: its component is null only where no
     other id is reached. Repeated rows link with each other; other columns are not read; no rows give no rows.
+    With key, an expression over a row of docs, `key long` and `kept boolean` are added: kept marks the rows of
+    the smallest id of a component, and of several texts with that id those of the smallest key.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    own = F.col(id_col).cast("long")
+    row = F.struct(own.isNull().alias("none"), own.alias("id"), (F.lit(None) if key is None else key).cast("long").alias("key"))
+    rows = docs.select(row.alias("_row"), F.col(text_col).cast("string").alias("_text"))
     kept = exchange.stored(rows, "blocks")
     bits = exchange.bucket_bits(kept)
 
@@ -257,17 +263,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         block = _Block(table, words)
         keys, _ = block.tokens()
         rarity = exchange.classes_told(answers, 1, keys, bits)
-        out = [{"node": None, "n": 0, "ids": block.rows[None]}] if None in block.rows else []
+        out = [{"node": None, "n": 0, "rows": block.rows[None]}] if None in block.rows else []
         for node, mine in block.sets.items():
             rare = rarity[np.searchsorted(keys, mine)]
             n, alone = len(mine), int((rare == 0).sum())
             room = n - needed(n, percent) + 1 - alone
-            row = {"node": node, "n": n, "ids": block.rows[node]}
+            row = {"node": node, "n": n, "rows": block.rows[node]}
             if room > 0:
                 first = mine[np.argsort(rare, kind="stable")[alone : alone + room]]
                 row |= {"prefix": first.view(np.int64), "shingles": mine.tobytes(), "classes": class_counts(mine).tobytes()}
             out.append(row)
-        return pa.Table.from_pylist(out, pa.schema([("node", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("classes", pa.binary())]))
+        rows = pa.list_(pa.struct([("none", pa.bool_()), ("id", pa.int64()), ("key", pa.int64())]))
+        return pa.Table.from_pylist(out, pa.schema([("node", pa.binary()), ("n", pa.int64()), ("rows", rows), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("classes", pa.binary())]))
 
     answers = exchange.answer_counts(exchange.ask(kept, lambda t: _Block(t, words).tokens(), bits, narrow=True), 1, narrow=True)
     nodes = written(exchange.with_answers(kept, answers, left, NODES), "nodes")
@@ -277,11 +284,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(kept)
     labels = components(find_links(todo, percent))
     drop(todo)
-    least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.array_min("ids")).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    final = least.select("node", "label").join(least.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("node", "component_id")
-    linked_rows = nodes.where("node IS NOT NULL").select("node", "n", "ids").join(final, "node").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    alone = nodes.where("node IS NULL").select(F.explode("ids").alias("doc_id")).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked_rows.unionByName(alone).select("doc_id", "n_shingles", "component_id")
+    # The least row of a node: ids before none, then the smallest.
+    least = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.array_min("rows")).alias("low")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    # Written first, so that the join may split the members of a large component.
+    lowest = written(least.groupBy("label").agg(F.min("low").alias("low")), "lowest")
+    final = least.select("node", "label").join(lowest, "label").select("node", "low")
+    linked_rows = nodes.where("node IS NOT NULL").select("node", "n", "rows").join(final, "node").select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "low")
+    alone = nodes.where("node IS NULL").select(F.explode("rows").alias("row")).select("row", F.lit(0).cast("long").alias("n_shingles"), F.col("row").alias("low"))
+    out = linked_rows.unionByName(alone).select(F.col("row.id").alias("doc_id"), "n_shingles", F.col("low.id").alias("component_id"), F.col("row.key").alias("key"), F.col("row").eqNullSafe(F.col("low")).alias("kept"))
+    return out.drop("key", "kept") if key is None else out
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], words: int = WORDS, percent: int = PERCENT) -> list[tuple]:
