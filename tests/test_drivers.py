@@ -227,3 +227,17 @@ def test_linear_machine_reaches_its_minimum(spark):
 
     w = np.array([*m.weights, m.intercept])
     assert m.converged and all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(size=(200, 4)) * 0.01)
+
+
+def test_new_files_are_measured_as_a_stream(spark, tmp_path):
+    from vocalis.streaming import audio as stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.wav").write_bytes(audio.encode_wav(np.full(1600, 0.1 * i), 16000))
+    (tmp_path / "in" / "bad.wav").write_bytes(b"junk")
+    measured = stream.measured(stream.watch(spark, str(tmp_path / "in"), "*.wav"))
+    query = measured.writeStream.format("memory").queryName("measured").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    got = spark.sql("SELECT * FROM measured").collect()
+    assert len(got) == 4 and sum(r.ok for r in got) == 3 and {round(r.peak, 2) for r in got if r.ok} == {0.0, 0.1, 0.2}

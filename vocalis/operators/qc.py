@@ -33,14 +33,19 @@ def measure(content: bytes | None, path: str, clipping: float = 0.99, top_db: fl
 
 def run(manifest: DataFrame, files: DataFrame, clipping: float = 0.99, top_db: float = 30.0) -> DataFrame:
     """One QC row an utterance. files: (path, content); a path without file is a failed row."""
-    joined = manifest.select("utt_id", "path", "label", "split", "source_corpus").join(files.select("path", "content"), "path", "left").select("utt_id", "path", "label", "split", "source_corpus", "content")
+    joined = manifest.select("utt_id", "path", "label", "split", "source_corpus").join(files.select("path", "content"), "path", "left")
+    return measured(joined, clipping, top_db)
+
+
+def measured(contents: DataFrame, clipping: float = 0.99, top_db: float = 30.0) -> DataFrame:
+    """QC rows of (utt_id, path, label, split, source_corpus, content), bounded or a stream."""
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             done = pd.DataFrame([measure(c, f, clipping, top_db) for c, f in zip(p["content"], p["path"], strict=True)], columns=QC.names[5:])
             yield pd.concat([p.drop(columns="content").reset_index(drop=True), done], axis=1)[QC.names]
 
-    return joined.mapInPandas(rows, QC)
+    return contents.select("utt_id", "path", "label", "split", "source_corpus", "content").mapInPandas(rows, QC)
 
 
 def summarize(qc: DataFrame) -> DataFrame:

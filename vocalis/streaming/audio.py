@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.operators import qc
-from vocalis.schemas import QC
 
 
 def watch(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
@@ -17,13 +16,5 @@ def watch(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
 
 def measured(stream: DataFrame) -> DataFrame:
     """QC rows of the stream; the utterance is the file's name."""
-    rows = stream.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("utt_id"), "path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("source_corpus"), "content")
-
-    def run(parts):
-        import pandas as pd
-
-        for p in parts:
-            done = pd.DataFrame([qc.measure(c, f) for c, f in zip(p["content"], p["path"], strict=True)], columns=QC.names[5:])
-            yield pd.concat([p.drop(columns="content").reset_index(drop=True), done], axis=1)[QC.names]
-
-    return rows.mapInPandas(run, QC)
+    none = [F.lit(None).cast("string").alias(c) for c in ("label", "split", "source_corpus")]
+    return qc.measured(stream.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("utt_id"), "path", *none, "content"))
