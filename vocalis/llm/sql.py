@@ -59,3 +59,14 @@ n AS (SELECT x, count(*) AS n FROM e GROUP BY x), m AS (SELECT x, min(y) AS y FR
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(y, vec_id)) AS kept
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id
 """
+
+# Bytes as pairs of hex digits. Later copies' starts form islands of windows that touch; what lies between islands is kept.
+ORACLES["op4_bwt_merge"] = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+l AS (SELECT r, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n FROM s) WHERE n > 1 WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, sum(least(100, coalesce(after - i, 100)))::BIGINT AS n_removed, list(i ORDER BY i) FILTER (before IS NULL OR i > before + 100) AS a, list(i + 100 ORDER BY i) FILTER (after IS NULL OR after > i + 100) AS b FROM l GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string([substr(h, 2 * coalesce(b[j - 1], 0) + 1, 2 * (coalesce(a[j], len(h) // 2) - coalesce(b[j - 1], 0))) FOR j IN range(1, len(a) + 2)], '') END)) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
