@@ -467,10 +467,76 @@ def mean_std_pool(spark, sf_dir):
     return e.groupBy("vec_id").agg(F.round(F.avg("e"), 6).alias("energy_mean"), F.round(F.stddev_pop("e"), 6).alias("energy_std"))
 
 
-@query("SELECT vec_id, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) AS z FROM (SELECT vec_id, embedding[1]::DOUBLE AS v FROM embeddings)")
+@query(f"SELECT vec_id, i, round((v - avg(v) OVER w) / (CASE WHEN stddev_pop(v) OVER w = 0 THEN 1 ELSE stddev_pop(v) OVER w END), 5) + 0.0 AS z FROM (SELECT vec_id, (unnest(range(len(x))))::INTEGER AS i, unnest(x) AS v FROM {_X}) WINDOW w AS (PARTITION BY i)")
 def standard_scale(spark, sf_dir):
-    rows = _signals(spark, sf_dir).select("vec_id", F.get("x", F.lit(0)).alias("z"))
-    return models.Scaler.fit(rows, ["z"]).transform(rows).select("vec_id", F.round("z", 5).alias("z"))
+    """All components, each by its own mean and deviation."""
+    rows, columns = _labelled_vectors(spark, sf_dir)
+    scaled = models.Scaler.fit(rows, columns).transform(rows)
+    return scaled.select("vec_id", F.posexplode(F.array(*columns)).alias("i", "z")).select("vec_id", "i", F.round("z", 5).alias("z"))
+
+
+# Signals of 6000 samples with silence of different lengths before and behind.
+_LONG = f"(SELECT vec_id, [CASE WHEN i > 400 * (vec_id % 6) AND i <= 6000 - 500 * (vec_id % 5) THEN x[(i - 1) % len(x) + 1] ELSE 0 END FOR i IN range(1, 6001)] AS x FROM {_X})"
+
+
+def _long_signals(spark, sf_dir) -> DataFrame:
+    v = F.col("vec_id")
+    return _signals(spark, sf_dir).select("vec_id", F.transform(signal.fix_length(F.col("x"), 6000), lambda s, i: F.when((i >= 400 * (v % 6)) & (i < 6000 - 500 * (v % 5)), s).otherwise(0.0)).alias("x"))
+
+
+def _by_signal(df: DataFrame, fn, schema: str) -> DataFrame:
+    """fn of each signal, a tuple for schema's columns after vec_id."""
+
+    def rows(parts):
+        import pandas as pd
+
+        for p in parts:
+            done = [fn(np.asarray(x, np.float64)) for x in p["x"]]
+            yield pd.DataFrame([(i, *d) for i, d in zip(p["vec_id"], done, strict=True)], columns=["vec_id", *(c.split()[0] for c in schema.split(", "))])
+
+    return df.mapInPandas(rows, "vec_id long, " + schema)
+
+
+_LEVEL = f"(SELECT vec_id, k, sqrt(list_sum([u * u FOR u IN p[512 * k + 1 : 512 * k + 2048]]) / 2048) AS r FROM (SELECT vec_id, unnest(range(12)) AS k, list_concat(list_concat([0.0::DOUBLE FOR i IN range(1024)], x), [0.0::DOUBLE FOR i IN range(1024)]) AS p FROM {_LONG}))"
+
+
+@query(f"SELECT vec_id, round(1 - (least(6000, 512 * (max(k) + 1)) - 512 * min(k)) / 6000.0, 6) AS silence_ratio, (512 * min(k))::BIGINT AS first, least(6000, 512 * (max(k) + 1))::BIGINT AS last FROM (SELECT vec_id, k, 20 * log10(greatest(r, 1e-5) / greatest(max(r) OVER (PARTITION BY vec_id), 1e-5)) > -30 AS loud FROM {_LEVEL}) WHERE loud GROUP BY 1")
+def trimmed_silence(spark, sf_dir):
+    """The kernel's own frames: 2048 samples, 512 apart, 30 dB."""
+    from vocalis.functions import kernels
+
+    return _by_signal(_long_signals(spark, sf_dir), lambda x: (round(kernels.silence_ratio(x), 6), *kernels.trim_bounds(x)), "silence_ratio double, first long, last long")
+
+
+@query(f"SELECT vec_id, round(list_sum([abs(u) FOR u IN y]), 2) AS total, round(y[700], 4) + 0.0 AS a, round(y[1601], 4) + 0.0 AS b, round(y[6100], 4) + 0.0 AS c, len(y)::BIGINT AS n FROM (SELECT vec_id, [e[(i - 1) % 6000 + 1] FOR i IN range(1, 7001)] AS y FROM (SELECT vec_id, [(CASE WHEN i = 1 THEN x[1] / top ELSE x[i] / top - 0.97 * (x[i - 1] / top) END)::FLOAT::DOUBLE FOR i IN range(1, 6001)] AS e FROM (SELECT vec_id, x, list_max([abs(u) FOR u IN x]) AS top FROM {_LONG})))")
+def preprocess_signal(spark, sf_dir):
+    """Peak normalisation, pre-emphasis and tiling to a fixed length by the kernel."""
+    from vocalis.functions import kernels
+
+    def measures(x):
+        y = kernels.preprocess(x, 7000, peak=True).astype(np.float64)
+        return float(np.abs(y).sum()), float(y[699]), float(y[1600]), float(y[6099]), len(y)
+
+    got = _by_signal(_long_signals(spark, sf_dir), measures, "total double, a double, b double, c double, n long")
+    # The kernel's samples are single precision, as those of the SQL.
+    return got.withColumns({"total": F.round("total", 2), "a": F.round("a", 4), "b": F.round("b", 4), "c": F.round("c", 4)})
+
+
+@query("SELECT doc_id, coalesce(sha1(text), '') AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", leakage.content_hash(F.col("text").cast("binary")).alias("hash"))
+
+
+@query("SELECT regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS utt_id, url AS path FROM pages")
+def file_stems(spark, sf_dir):
+    return protocol.stems(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+
+
+@query(f"SELECT source_corpus, split, count(*) AS n FROM (SELECT source_corpus, split FROM {_M} UNION ALL SELECT 'again', split FROM {_M} WHERE split = 'val') GROUP BY ALL")
+def concatenated_manifests(spark, sf_dir):
+    m = _manifest(spark, sf_dir)
+    parts = [m, m.where("split = 'none'"), manifest.finalize(m.where("split = 'val'"), "again", "val")]
+    return manifest.concat(parts).groupBy("source_corpus", "split").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT vec_id, round(1 - (max(k) FILTER (loud) - min(k) FILTER (loud) + 1) / 7.0, 5) AS silence_ratio FROM (SELECT vec_id, k, 20 * log10(greatest(r, 1e-5) / greatest(max(r) OVER (PARTITION BY vec_id), 1e-5)) > -3 AS loud FROM (SELECT vec_id, k, sqrt(list_sum([v * v FOR v IN f]) / 16) AS r FROM {_FR})) GROUP BY 1")

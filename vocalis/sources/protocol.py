@@ -87,6 +87,11 @@ def list_audio(spark: SparkSession, root: str, extension: str = ".flac") -> Data
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
 
 
+def stems(files: DataFrame) -> DataFrame:
+    """(utt_id, path): each file under its name without directory and extension."""
+    return files.select(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "").alias("utt_id"), "path")
+
+
 def from_protocol(protocol: DataFrame, audio_dir: str, source_corpus: str, split: str, files: DataFrame | None = None, project_root: str = "", extension: str = ".flac") -> DataFrame:
     """Manifest rows of the protocol's utterances at <audio_dir>/<utt_id><extension>; with files (path), of those listed there alone."""
     from vocalis.operators.manifest import finalize, relative_path
