@@ -42,7 +42,7 @@ def hash_groups(hashed: DataFrame, column: str = "hash") -> DataFrame:
     named = hashed.where(F.col(column) != "")
     # Ids of a hash are counted up by (hash, split, id) first, so that no task holds all ids of a frequent one.
     groups = named.groupBy(column).agg(F.count("*").alias("size"), F.countDistinct("split").alias("n_splits")).where("size > 1")
-    return groups.join(least_ids(named, column, 3), column)
+    return groups.join(least_ids(named.join(groups.select(column), column, "left_semi"), column, 3), column)
 
 
 def least_ids(rows: DataFrame, key: str, n: int, id_col: str = "utt_id") -> DataFrame:
