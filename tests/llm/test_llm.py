@@ -167,6 +167,11 @@ def test_recompression_equals_brute_force(spark):
     assert recompress.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_blocks_grow_with_the_square_root_of_the_input():
+    sizes = [1 << 30, 1 << 40, 1 << 42, 1 << 44, 1 << 50, 1 << 62]
+    assert [exchange.growth(n) for n in sizes] == [1, 1, 2, 4, 4, 1]
+
+
 def test_interval_merge_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bwtmerge, "SHARD_BYTES", 3000)
     rows = corpus(8)

@@ -9,6 +9,7 @@ back: a hash that a third of all documents hold is one entry a block, so no buck
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of compressed blocks for each bucket: at most, so that it fits in a task, and at least, so that rows between blocks and buckets stay few.
 BUCKET_INPUT, LEAST_INPUT, BUCKETS_A_PARTITION = 32 << 20, 1 << 20, 2
 
+#: Input from which blocks and buckets grow, with its square root and up to so many times: rows between them are blocks times buckets.
+GROWS_FROM, MOST_GROWTH = 1 << 40, 4
+
 BLOCKS = "block long, data binary"
 ASKS = "bucket int, block long, keys binary, extra binary"
 ANSWERS = "block long, kind int, bucket int, bits binary"
@@ -73,16 +77,22 @@ def blocks(docs: DataFrame, size: int = BLOCK_BYTES, ordered: bool = False) -> D
     return docs.mapInArrow(lambda b: _blocks(b, size, ordered), BLOCKS)
 
 
+def growth(input_size: int) -> float:
+    """How many times as large blocks and buckets are as for a small input; 1 where the size is not known."""
+    return min(MOST_GROWTH, max(1.0, math.sqrt(input_size / GROWS_FROM))) if input_size < 1 << 60 else 1.0
+
+
 def stored(docs: DataFrame, name: str, size: int = BLOCK_BYTES) -> DataFrame:
     """blocks() of docs in a lasting order, written by block: in every later pass blocks stay where they are and answers come to them."""
-    return bucketed(blocks(docs, size, ordered=True), name, "block")
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return bucketed(blocks(docs, int(size * growth(known)), ordered=True), name, "block")
 
 
 def bucket_bits(kept: DataFrame) -> int:
     """Leading bits that name a bucket, from the size of the written blocks and the number of shuffle partitions."""
     parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(kept)
-    n = max(size // BUCKET_INPUT, min(BUCKETS_A_PARTITION * parts, size // LEAST_INPUT), 1)
+    n = max(int(size / (BUCKET_INPUT * growth(size))), min(BUCKETS_A_PARTITION * parts, size // LEAST_INPUT), 1)
     return min(24, max(1, (n - 1).bit_length()))
 
 
