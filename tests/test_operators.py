@@ -150,3 +150,20 @@ def test_oracle(spark, name):
     # By value: -0.0 is 0.0, whichever side gives it.
     both = [sorted(str(tuple(v + 0.0 if isinstance(v, float) else v for v in r)) for r in rows) for rows in (got.select(*cols).collect(), want)]
     assert both[0] == both[1]
+
+
+def test_signal_expressions_in_time_proportional_to_length(spark):
+    import time
+
+    import numpy as np
+
+    from vocalis.functions import signal
+
+    x = np.abs(np.random.default_rng(1).normal(size=40_000)) * np.where(np.arange(40_000) % 3 == 0, -1, 1)
+    df = spark.createDataFrame([(x.tolist(), np.abs(x).tolist())], "x array<double>, m array<double>")
+    began = time.time()
+    r = df.select(signal.peak_normalize(F.col("x")).alias("y"), signal.zero_crossings(F.col("x")).alias("z"), signal.rolloff_bin(F.col("m")).alias("r")).first()
+    assert time.time() - began < 10
+    assert np.allclose(r.y, x / np.abs(x).max()) and r.z == int(((x[1:] < 0) != (x[:-1] < 0)).sum()) and r.r == int(np.argmax(np.cumsum(np.abs(x)) >= 0.85 * np.abs(x).sum()))
+    silent = spark.createDataFrame([([0.0, 0.0],), ([],)], "x array<double>").select(signal.peak_normalize(F.col("x")).alias("y"), signal.zero_crossings(F.col("x")).alias("z"), signal.rolloff_bin(F.col("x")).alias("r")).collect()
+    assert [(s.y, s.z, s.r) for s in silent] == [([0.0, 0.0], 0, 0), ([], 0, -1)]
