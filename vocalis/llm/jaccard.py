@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.recompress import BASES, rolling, word_names
-from vocalis.llm.shared import bucketed, components, drop, written
+from vocalis.llm.recompress import BASES, forget, rolling, word_names
+from vocalis.llm.shared import bucketed, cache_of, components, drop, written
 
 WORDS, PERCENT = 4, 85
-#: Members of one block of a group.
-GROUP_BLOCK = 256
+#: Members of one block of a group, and queries of a block that one task answers.
+GROUP_BLOCK, ASK_BLOCK = 256, 512
 
 #: A row of the input: its id, and what tells it from others of the same id if asked for.
 ROW = "struct<none: boolean, id: long, key: long>"
@@ -68,6 +68,7 @@ class _Block:
     """A block's distinct sets, with the rows that have each."""
 
     def __init__(self, table: pa.Table, words: int):
+        cache_of("names", forget)
         self.sets: dict[bytes, np.ndarray] = {}
         self.rows: dict[bytes | None, list] = {}
         for row, x in zip(table.column("_row").to_pylist(), table.column("_text"), strict=True):
@@ -191,6 +192,14 @@ def _in_blocks(members: DataFrame, group: str) -> DataFrame:
     return members.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _dealt(queries: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queries of each block in chunks, the members of asked blocks once for each chunk, and the table of chunks to drop."""
+    loads = written(queries.groupBy("cell", "part").agg(F.ceil(F.count("*") / ASK_BLOCK).cast("int").alias("chunks")), "loads")
+    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return queries.join(loads, ["cell", "part"]).withColumn("chunk", chunk).drop("chunks"), members.join(loads, ["cell", "part"]).withColumn("chunk", chunks).drop("chunks"), loads
+
+
 def _apart(df: DataFrame) -> DataFrame:
     """The same columns as new ones, to stand beside others of the same source."""
     return df.select(*(F.col(c).alias(c) for c in df.columns))
@@ -231,14 +240,16 @@ def find_links(left: DataFrame, percent: int) -> DataFrame:
     asks = matrix.select("token", "node", "label", "cell", "n", F.col("part").alias("mine")).join(pairs, ["token", "cell"]).where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent))
     asks = asks.select("node", "label", "other", "others", F.when(F.col("cell") == F.col("other"), F.col("mine")).otherwise(0).alias("first")).distinct()
     asks = written(asks.select("node", "label", F.col("other").alias("cell"), F.explode(F.sequence("first", F.col("others") - 1)).alias("part")), "asks")
-    asked = labelled.select("cell", "part", "node", "label").join(asks.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
+    queries, asked, loads = _dealt(asks, labelled.select("cell", "part", "node", "label"))
     classes = left.select("node", "classes")
-    qualify = asked.join(classes, "node").groupBy("cell", "part").cogroup(_apart(asks.join(classes, "node")).groupBy("cell", "part")).applyInArrow(lambda x, y: _bounded(x, y, percent), "node binary, label binary, cell binary, part int")
+    by = ("cell", "part", "chunk")
+    qualify = asked.join(classes, "node").groupBy(*by).cogroup(_apart(queries.join(classes, "node")).groupBy(*by)).applyInArrow(lambda x, y: _bounded(x, y, percent), "node binary, label binary, cell binary, part int")
     qualify = written(qualify, "qualify")
-    opened = asked.join(qualify.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
+    queries, opened, loads_opened = _dealt(qualify, labelled.select("cell", "part", "node", "label"))
     sets = left.select("node", "shingles")
-    targets, queries = opened.join(sets, "node"), qualify.join(sets, "node")
-    second = targets.groupBy("cell", "part").cogroup(_apart(queries).groupBy("cell", "part")).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
+    second = opened.join(sets, "node").groupBy(*by).cogroup(_apart(queries.join(sets, "node")).groupBy(*by)).applyInArrow(lambda x, y: _across(x, y, percent), "a binary, b binary")
+    second = written(second, "links")
+    drop(shared, members, labelled, cells, asks, loads, qualify, loads_opened)
     return first.unionByName(second)
 
 
