@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
 from vocalis.llm.recompress import BASES, forget, rolling, word_names
-from vocalis.llm.shared import bucketed, cache_of, components, drop, written
+from vocalis.llm.shared import bucketed, cache_of, components, drop, release, written
 
 WORDS, PERCENT = 4, 85
 #: Members of one block of a group, and queries of a block that one task answers.
@@ -293,6 +293,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Their sets are large and needed in several joins: they move to the buckets of their nodes once.
     todo = bucketed(todo, "left", "node")
     drop(kept)
+    release(docs.sparkSession)
     labels = components(find_links(todo, percent))
     drop(todo)
     # The least row of a node: ids before none, then the smallest.

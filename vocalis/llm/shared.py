@@ -73,16 +73,18 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables of written() and bucketed() that nothing reads any more, and lets go of the shuffles behind them."""
+    """Deletes tables of written() and bucketed() that nothing reads any more."""
     for t in tables:
         if "_table" in t.__dict__:
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._table}")
         where, files = _at(t.sparkSession, t._written_at)
         files.delete(where, True)
-    # Shuffle files go when the driver's JVM finds that no plan refers to them.
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of past plans, which it does when the driver's JVM finds that nothing refers to them."""
     gc.collect()
-    for spark in {t.sparkSession for t in tables}:
-        spark._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:
