@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.llm import decontaminate, jaccard, packing, recompress, toxicity
-from vocalis.llm.shared import drop, written
+from vocalis.llm.shared import drop, release, written
 from vocalis.session import prepare, table
 
 #: Near copies: words of a shingle and least Jaccard similarity in per cent.
@@ -103,5 +103,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before is not None:
             drop(before)
+            release(spark)
         before = docs
     return docs
