@@ -57,12 +57,33 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def forget() -> None:
+    """Empties what this worker keeps of words and powers."""
+    _NAMES.clear()
+    powers.cache_clear()
+
+
 # Odd 64-bit multipliers of the two window hashes, and what sets the check's bytes apart.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 CHECK_SALT = 0x5DEECE66D
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def byte_names(words: list[bytes], part: int = 1 << 16) -> np.ndarray:
+    """Another 64-bit hash of each word: its bytes, mixed, weighted by their places in it, and summed."""
+    table, weights, out = mix(_BYTES ^ np.uint64(CHECK_SALT)), powers(BASES[1], 4096)[0], []
+    for a in range(0, len(words), part):
+        own = words[a : a + part]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        place = np.arange(int(ends[-1])) - np.repeat(starts, sizes)
+        np.minimum(place, len(weights) - 1, out=place)
+        data = np.frombuffer(b"".join(own), np.uint8)
+        out.append(mix(np.add.reduceat(table[data] * weights[place], starts) + sizes.astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 class Prefixes:
     """Hashes of any substrings of some bytes, from one running sum."""
 
@@ -140,7 +161,7 @@ class _Block:
     """A block's words and what follows from them."""
 
     def __init__(self, table: pa.Table, window: int):
-        cache_of("names", _NAMES.clear)
+        cache_of("names", forget)
         self.words = [(x.as_py() or "").encode().split() for x in table.column("_text")]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(sizes)
@@ -177,11 +198,12 @@ class _Block:
         if not len(at):
             return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, bool), at
         one = rolling(self.names, self.window, BASES[0])[at]
+        # Only words inside these windows need their bytes' hash.
+        inside = self.removed(at)
         line = [w for words in self.words for w in words]
-        ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
-        data = Prefixes(np.frombuffer(b" ".join(line), np.uint8), BASES[1], CHECK_SALT)
-        begins = np.append(0, ends[:-1])[at]
-        two = data.at(begins, ends[at + self.window - 1] - 1 - begins)
+        other = np.zeros(self.n, np.uint64)
+        other[inside] = byte_names([line[i] for i in np.flatnonzero(inside).tolist()])
+        two = rolling(other, self.window, BASES[1])[at]
         first, of, count, _ = exchange.distinct(one, two)
         return one[first], (two[first] >> np.uint64(32)).astype(np.uint32), count > 1, of
 
