@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from vocalis.llm import exchange
 from vocalis.llm.exchange import mix
-from vocalis.llm.recompress import BASES, CHECK_SALT, Prefixes
+from vocalis.llm.recompress import BASES, CHECK_SALT, Prefixes, powers
+from vocalis.llm.shared import cache_of
 
 WINDOW = 100
 #: Bytes of the first round's prefixes, of the context that makes a suffix a sampled one, and one in how many is.
@@ -33,6 +34,7 @@ ADDED = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_sp
 
 class _Shard:
     def __init__(self, table: pa.Table, window: int):
+        cache_of("powers", powers.cache_clear)
         self.texts = [(x.as_py() or "").encode() for x in table.column("_text")]
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         sizes = np.array([len(x) for x in self.texts], np.int64)
