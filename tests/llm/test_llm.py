@@ -504,7 +504,27 @@ def test_codes_find_pairs_of_off_centre_vectors(common, nodes):
     turn -= (turn * unit).sum(1, keepdims=True) * unit
     pairs = 0.955 * unit + np.sqrt(1 - 0.955**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
     codes = itq.Codes(unit[:2000], nodes, 0.95)
-    assert (codes(unit) == codes(pairs)).any(1).mean() >= 0.998
+    found = (codes(unit) == codes(pairs)).any(1) & ((codes.signs(unit) != codes.signs(pairs)).sum(1) <= codes.radius)
+    assert found.mean() >= 0.998
+
+
+def test_vectors_without_rows_and_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], "x", 3), (1, [1.0, 2.0], "x", 3), (None, None, "x", 3)], "vec_id long, embedding array<double>, node string, code int")
+    assert itq.near_duplicates(rows.limit(0)).count() == 0
+    assert key(itq.near_duplicates(rows).collect()) == key([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True)])
+
+
+def test_few_vectors_are_sent_to_be_reranked(spark, monkeypatch):
+    """Of unrelated vectors and some pairs, the pairs alone have a code within the radius."""
+    kept = []
+    real = itq.written
+    monkeypatch.setattr(itq, "written", lambda df, name: (lambda out: kept.append(out.select("node").distinct().count()) or out if name == "near" else out)(real(df, name)))
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, (x[i] + 0.05 * rng.normal(size=64)).tolist()) for i in range(50)]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links == 1 and got[5000 + i].component_id == i for i in range(50)) and sum(r.n_links for r in got.values()) == 100
+    assert 100 <= kept[0] < 1000
 
 
 def test_pipeline_stages_take_effect(spark):
