@@ -13,6 +13,7 @@ distinct name once, with their place in the order, to learn whether an earlier s
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ class _Shard:
         self.window = window
         self.one = Prefixes(self.data, BASES[0])
 
+    @cached_property
+    def two(self) -> Prefixes:
+        return Prefixes(self.data, BASES[1], CHECK_SALT)
+
     def _starts(self, length: int) -> np.ndarray:
         """Which bytes begin a string of that length in their document."""
         n = len(self.data)
@@ -92,12 +97,12 @@ class _Shard:
     def pairs(self, suffix: np.ndarray, first: np.ndarray, whole: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
         """The prefix's name, and that of all bytes the suffix's windows cover; of windows not all open, one like no other."""
         size = np.where(whole, suffix - first + self.window - 1, 0)
-        covered = Prefixes(self.data, BASES[1], CHECK_SALT).at(first, size) + mix(size.astype(np.uint64))
+        covered = self.two.at(first, size) + mix(size.astype(np.uint64))
         single = mix(mix(suffix.astype(np.uint64) + np.uint64(1)) + np.uint64(name))
         return self.one.at(suffix, PREFIX), np.where(whole, covered, single)
 
     def check(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return Prefixes(self.data, BASES[1], CHECK_SALT).at(at, length)
+        return self.two.at(at, length)
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
