@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -23,6 +24,10 @@ def cache_of(name: str, clear: Callable[[], None]) -> None:
     if others:
         gc.collect()
         pa.default_memory_pool().release_unused()
+        # Of the C libraries, glibc can be told to return what it keeps between blocks in use.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
     _CACHES[name] = clear
 
 
