@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from vocalis.llm.shared import bucketed, input_bytes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of compressed blocks for each bucket: at most, so that it fits in a task, and at least, so that rows between blocks and buckets stay few.
 BUCKET_INPUT, LEAST_INPUT, BUCKETS_A_PARTITION = 32 << 20, 1 << 20, 2
 
