@@ -387,6 +387,20 @@ def test_neighbours_are_exact_and_held_out_accuracy(spark):
     assert key(kept.collect()) == key((r.doc_id, text.get(r.doc_id, "" if r.doc_id == 9001 else None), r.score, 0) for r in got if not r.predicted)
 
 
+def test_few_toxic_words_in_long_texts_are_caught(spark):
+    rng = random.Random(41)
+    own, bad = [f"k{i}" for i in range(4000)], [f"vile{i}" for i in range(10)]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(own) for _ in range(150)]
+        rows.append((i, " ".join(words + rng.sample(bad, 2) * (i % 8 == 0)), int(i % 8 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = toxicity.score_documents(docs, model).where(toxicity.held_out()).collect()
+    assert np.mean([r.predicted for r in got if r.doc_id % 8 == 0]) > 0.9
+    assert np.mean([r.predicted for r in got if r.doc_id % 8]) < 0.02
+
+
 def test_block_bounds_keep_most_blocks_shut():
     """Examples of twelve subjects: exact neighbours from few of the blocks."""
     rng = random.Random(21)

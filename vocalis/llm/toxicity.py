@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of TF-IDF, weighted by what words tell of the label, over a block-max inverted index.
 
 A bounded sample of labelled rows becomes examples; everything else covers all documents: document
 frequencies are counted over the whole table, and each whole text is scored. The vector space is that of
@@ -125,12 +125,31 @@ def similar_blocks(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int,
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def relevance(examples: list[tuple[int, int, dict[bytes, int]]]) -> dict[bytes, float]:
+    """1 and the chi-square of each word's occurrence against the label, so that words that tell the labels apart outweigh the many that do not."""
+    with_word: tuple[Counter, Counter] = (Counter(), Counter())
+    sizes = [0, 0]
+    for _, label, tf in examples:
+        with_word[label].update(tf.keys())
+        sizes[label] += 1
+    out = {}
+    for w in with_word[0].keys() | with_word[1].keys():
+        a, b = with_word[1][w], with_word[0][w]
+        spread = (a + b) * (sum(sizes) - a - b) * sizes[0] * sizes[1]
+        out[w] = 1.0 + (sum(sizes) * (a * sizes[0] - b * sizes[1]) ** 2 / spread if spread else 0.0)
+    return out
+
+
 class Index:
-    """Examples as unit TF-IDF vectors: postings by word and block, and the largest weight of each of these."""
+    """Examples as unit vectors of weighted words: postings by word and block, and the largest weight of each of these.
+
+    factors: by which the IDF of a word is multiplied, if not 1.
+    """
 
-    def __init__(self, examples: list[tuple[int, int, dict[bytes, int]]], df: dict[bytes, int], n_docs: int):
+    def __init__(self, examples: list[tuple[int, int, dict[bytes, int]]], df: dict[bytes, int], n_docs: int, factors: dict[bytes, float] | None = None):
         self.words = {w: i for i, w in enumerate(sorted(df))}
-        idf = {w: float(np.log((1 + n_docs) / (1 + n)) + 1) for w, n in df.items()}
+        factors = factors or {}
+        idf = {w: float(np.log((1 + n_docs) / (1 + n)) + 1) * factors.get(w, 1.0) for w, n in df.items()}
         self.word_idf = np.array([idf[w] for w in self.words], np.float64)
         rows, cols, vals = [], [], []
         for i, (_, _, tf) in enumerate(examples):
@@ -294,7 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     counts = {e[0]: word_counts(e[2]) for e in examples}
     words = sorted(set().union(*counts.values())) if counts else []
     df = document_frequencies(docs, words)
-    index = Index([(i, t, counts[i]) for i, t, _ in examples], dict(zip(words, df.tolist(), strict=True)), docs.count())
+    counted = [(i, t, counts[i]) for i, t, _ in examples]
+    index = Index(counted, dict(zip(words, df.tolist(), strict=True)), docs.count(), relevance(counted))
     return Model(index, prior, [counts[i] for i in index.ids.tolist()], k)
 
 
