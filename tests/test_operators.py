@@ -126,6 +126,23 @@ def test_classifiers_read_all_components(spark, tmp_path):
     assert (got.features, got.accuracy) == ("e20", 1.0)
 
 
+def test_forest_grows_in_groups_over_few_partitions(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from vocalis.operators import experiments
+
+    asked, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: asked.append((self.getNumTrees(), rows.rdd.getNumPartitions())) or fit(self, rows))
+    df = spark.range(0, 300, 1, 6).selectExpr("id", "cast(id % 2 as int) AS label_id", "id % 2 + rand(1) * 0.5 AS a", "rand(2) AS b")
+    forest = models.random_forest(df, ["a", "b"], trees=5, depth=4)
+    assert sorted(asked) == [(2, 1), (3, 1)] and forest.stages[1].getNumTrees == 5 and len(forest.stages[1].trees) == 5
+    assert forest.stages[1].trees[0].toDebugString != forest.stages[1].trees[3].toDebugString
+    experiments.save_model(forest, str(tmp_path / "rf"), spark, ["a", "b"])
+    loaded, _ = experiments.load_model(spark, str(tmp_path / "rf"))
+    scores = [x.score for x in models.forest_score(forest, df).orderBy("id").collect()]
+    assert len(loaded.stages[1].trees) == 5 and scores == [x.score for x in models.forest_score(loaded, df).orderBy("id").collect()]
+    assert models.evaluate(models.forest_score(forest, df), "rf", "two").first().accuracy > 0.98
+
+
 def test_forest_has_the_operators_own_defaults(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(models, "random_forest", lambda df, columns, **more: asked.append((len(columns), more)))

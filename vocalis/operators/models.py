@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.operators import metrics
 from vocalis.schemas import feature_set
 
+#: Groups of a forest's trees that grow at the same time, and bytes of features in a partition for them.
+FOREST_GROUPS, FOREST_PARTITION_BYTES = 8, 32 << 20
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -119,15 +123,41 @@ def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: fl
 
 
 def random_forest(df: DataFrame, columns: list[str], label: str = "label_id", trees: int = 200, depth: int = 30, seed: int = 1337):
-    """A fitted pyspark.ml pipeline with balanced weights; score is the probability of class 1."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
+    """A fitted pyspark.ml pipeline with balanced weights; score is the probability of class 1.
+
+    Groups of trees grow at the same time, each with a seed of its own, over few partitions: each partition
+    makes and sends a histogram of all bins for every node, however few rows the node has.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     weight = class_weights(df, label)
     weighed = df.withColumn("_weight", F.when(F.col(label) == 1, weight[1]).otherwise(weight[0]))
-    forest = RandomForestClassifier(labelCol=label, weightCol="_weight", featuresCol="_features", numTrees=trees, maxDepth=depth, maxBins=256, featureSubsetStrategy="sqrt", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="skip"), forest]).fit(weighed)
+    assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="skip")
+    rows = assembler.transform(weighed).select(label, "_weight", "_features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = rows.coalesce(-(-rows.count() * len(columns) * 8 // FOREST_PARTITION_BYTES) or 1)
+        groups = min(FOREST_GROUPS, max(1, trees // 2))
+
+        def grow(k: int):
+            size = trees // groups + (k < trees % groups)
+            return RandomForestClassifier(labelCol=label, weightCol="_weight", featuresCol="_features", numTrees=size, maxDepth=depth, maxBins=256, featureSubsetStrategy="sqrt", seed=seed + k, cacheNodeIds=True).fit(rows)
+
+        with ThreadPoolExecutor(groups) as pool:
+            parts = list(pool.map(inheritable_thread_target(df.sparkSession)(grow), range(groups)))
+    finally:
+        rows.unpersist()
+    jvm, gateway = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._gateway
+    grown = [t for p in parts for t in p._java_obj.trees()]
+    own = gateway.new_array(jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, len(grown))
+    for i, t in enumerate(grown):
+        own[i] = t
+    first = parts[0]
+    forest = RandomForestClassificationModel(jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid, own, first.numFeatures, first.numClasses))
+    first._copyValues(forest)._set(numTrees=trees)
+    forest._transfer_params_to_java()
+    return PipelineModel([assembler, forest])
 
 
 def forest_score(model, df: DataFrame) -> DataFrame:
@@ -138,10 +168,14 @@ def forest_score(model, df: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, model: str, features: str, label: str = "label_id") -> DataFrame:
-    """One result row."""
-    got = scored.withColumns({"y": F.col(label), "pred": F.col("pred")})
-    row = metrics.binary_metrics(metrics.confusion(got)).select("accuracy", "precision", "recall", "f1")
-    return row.join(metrics.roc_auc(got)).join(metrics.equal_error_rate(got)).select(F.lit(model).alias("model"), F.lit(features).alias("features"), "*")
+    """One result row, computed here: all metrics read labels, scores and predictions that are kept meanwhile, so the model scores once."""
+    got = scored.select(F.col(label).alias("y"), "score", "pred").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = metrics.binary_metrics(metrics.confusion(got)).select("accuracy", "precision", "recall", "f1")
+        out = row.join(metrics.roc_auc(got)).join(metrics.equal_error_rate(got)).select(F.lit(model).alias("model"), F.lit(features).alias("features"), "*")
+        return scored.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        got.unpersist()
 
 
 def experiment_grid(train: DataFrame, test: DataFrame, sets: tuple[str, ...] = ("MFCC", "LFCC", "MFCC+Spectral", "Combined"), trees: int = 200, depth: int = 30) -> DataFrame:
