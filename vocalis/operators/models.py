@@ -169,13 +169,11 @@ def forest_score(model, df: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame, model: str, features: str, label: str = "label_id") -> DataFrame:
     """One result row, computed here: all metrics read labels, scores and predictions that are kept meanwhile, so the model scores once."""
-    got = scored.select(F.col(label).alias("y"), "score", "pred").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        row = metrics.binary_metrics(metrics.confusion(got)).select("accuracy", "precision", "recall", "f1")
-        out = row.join(metrics.roc_auc(got)).join(metrics.equal_error_rate(got)).select(F.lit(model).alias("model"), F.lit(features).alias("features"), "*")
-        return scored.sparkSession.createDataFrame(out.collect(), out.schema)
-    finally:
-        got.unpersist()
+    # Cut from the plan before, which each of some fifty scans of kept rows would carry.
+    got = scored.select(F.col(label).alias("y"), "score", "pred").localCheckpoint()
+    row = metrics.binary_metrics(metrics.confusion(got)).select("accuracy", "precision", "recall", "f1")
+    out = row.join(metrics.roc_auc(got)).join(metrics.equal_error_rate(got)).select(F.lit(model).alias("model"), F.lit(features).alias("features"), "*")
+    return scored.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def experiment_grid(train: DataFrame, test: DataFrame, sets: tuple[str, ...] = ("MFCC", "LFCC", "MFCC+Spectral", "Combined"), trees: int = 200, depth: int = 30) -> DataFrame:
