@@ -143,6 +143,74 @@ def test_forest_grows_in_groups_over_few_partitions(spark, tmp_path, monkeypatch
     assert models.evaluate(models.forest_score(forest, df), "rf", "two").first().accuracy > 0.98
 
 
+def _two_rings(spark, n: int):
+    """The label is whether a and b lie within a ring; c to f say nothing; every tenth row is one and the same, some features are null."""
+    df = spark.range(0, n, 1, 5).selectExpr("id", *(f"if(id % 10 = 0, 0.5, rand({k}))  AS {c}" for k, c in enumerate("abcdef")))
+    df = df.selectExpr("id", "cast(pow(a - 0.5, 2) + pow(b - 0.5, 2) BETWEEN 0.04 AND 0.2 AND id % 10 <> 0 OR id % 30 = 0 AS int) AS label_id", "a", "b", "c", "d", "e", "if(id % 97 = 1, null, f) AS f")
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
+@pytest.mark.parametrize("task_bytes", [16 << 20, 3000])
+def test_large_forest_grows_in_tasks(spark, tmp_path, monkeypatch, task_bytes):
+    """The driver gets no forest of many nodes; with small tasks the nodes above them are split over all partitions, to the same effect."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from vocalis.operators import experiments, forest
+
+    asked, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: asked.append(self.getNumTrees()) or fit(self, rows))
+    monkeypatch.setattr(forest, "TASK_BYTES", task_bytes)
+    columns, df = list("abcdef"), _two_rings(spark, 2000)
+    train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    monkeypatch.setattr(models, "FOREST_DRIVER_NODES", 1000, raising=False)
+    fitted = models.random_forest(train, columns, trees=20)
+    assert asked == []
+    assert {len(t.left) > 1 for t in fitted.tops} == {task_bytes == 3000} and {r.tree for r in fitted.subtrees.collect()} == set(range(20))
+    scored = models.forest_score(fitted, test)
+    assert scored.columns == [*df.columns, "score", "pred"]
+    got = {r.id: r for r in scored.collect()}
+    # Rows with a null are left out, as pyspark.ml's assembler does; the others come back as they were.
+    want = {r.id: r for r in test.where("f IS NOT NULL").collect()}
+    assert set(got) == set(want) and all(tuple(got[i])[:8] == tuple(r) for i, r in want.items())
+    odd = [i for i in got if i % 10]
+    # Over four seeds 0.88 to 0.91 with tasks of either size.
+    assert sum(got[i].pred == got[i].label_id for i in odd) / len(odd) > 0.85
+    assert all(0 <= r.score <= 1 and r.pred == (r.score > 0.5) for r in got.values())
+    assert len({got[i].score for i in got if i % 10 == 0}) == 1
+    again = models.forest_score(models.random_forest(train, columns, trees=20), test.repartition(3))
+    assert {r.id: r.score for r in again.collect()} == {i: r.score for i, r in got.items()}
+    experiments.save_model(fitted, str(tmp_path / "rf"), spark, columns)
+    loaded, named = experiments.load_model(spark, str(tmp_path / "rf"))
+    assert named == columns and {r.id: r.score for r in experiments.score(loaded, test).collect()} == {i: r.score for i, r in got.items()}
+    assert models.evaluate(scored.where("id % 10 <> 0"), "rf", "six").first().roc_auc > 0.9
+
+
+def test_tree_of_a_task_splits_as_by_brute_force():
+    import numpy as np
+    from vocalis.operators import forest
+
+    rng = np.random.default_rng(3)
+    bins, n, weight = rng.integers(0, 6, (60, 3)).astype(np.uint8), rng.integers(1, 4, 60).astype(np.uint8), np.array([0.7, 1.9])
+    y = (bins[:, 1] > 2) ^ (rng.random(60) < 0.2)
+    tree = forest.grow(bins, y, n, weight, 3, 30, np.random.default_rng(0))
+    w = [np.where(y == c, n * weight[c], 0) for c in (0, 1)]
+
+    def left_over(f, c):
+        sides = [bins[:, f] <= c, bins[:, f] > c]
+        return sum(2 * a * b / (a + b) for a, b in ((w[0][s].sum(), w[1][s].sum()) for s in sides) if a + b)
+
+    least = min(left_over(f, c) for f in range(3) for c in range(5))
+    assert abs(left_over(tree.feature[0], tree.cut[0]) - least) < 1e-9
+    # Leaves are pure, or hold rows alike in all features; their values are the weighted shares of class 1.
+    leaf = tree.reach(bins)
+    for k in set(leaf):
+        own = leaf == k
+        assert abs(tree.value[k] - w[1][own].sum() / (w[0][own] + w[1][own]).sum()) < 1e-12
+        assert len(set(y[own])) == 1 or len(np.unique(bins[own], axis=0)) == 1
+    assert len(forest.grow(bins, y, n, weight, 3, 2, np.random.default_rng(0)).left) <= 7
+    mixed = np.random.default_rng(1).permutation(60)
+    assert all((a == b).all() for a, b in zip(tree.__dict__.values(), forest.grow(bins[mixed], y[mixed], n[mixed], weight, 3, 30, np.random.default_rng(0)).__dict__.values()))
+
+
 def test_forest_has_the_operators_own_defaults(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(models, "random_forest", lambda df, columns, **more: asked.append((len(columns), more)))

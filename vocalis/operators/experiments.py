@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vocalis.functions import kernels
 from vocalis.operators import metrics, models
+from vocalis.operators.forest import DealtForest
 from vocalis.schemas import FEATURE_META, FEATURES, LABEL_IDS, feature_set
 
 FAMILIES = ("MFCC", "LFCC", "MFCC+Spectral", "Combined")
@@ -115,10 +116,13 @@ def read_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 
 def save_model(fitted, path: str, spark: SparkSession, columns: list[str] | None = None) -> None:
-    """A linear model as one JSON row, a forest with pyspark.ml beside a row of its columns."""
+    """A linear model as one JSON row, a forest with pyspark.ml or as tables beside a row of its columns."""
     if isinstance(fitted, models.LinearModel):
         s = fitted.scaler
         value = {"kind": SVM, "columns": s.columns, "mean": s.mean, "std": s.std, "weights": fitted.weights, "intercept": fitted.intercept}
+    elif isinstance(fitted, DealtForest):
+        value = {"kind": FOREST, "columns": columns or fitted.columns, "dealt": True}
+        fitted.save(f"{path.rstrip('/')}/trees")
     else:
         value = {"kind": FOREST, "columns": columns or fitted.stages[0].getInputCols()}
         fitted.write().overwrite().save(f"{path.rstrip('/')}/stages")
@@ -131,6 +135,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[object, list[str]]:
     if value["kind"] == SVM:
         scaler = models.Scaler(tuple(value["columns"]), tuple(value["mean"]), tuple(value["std"]))
         return models.LinearModel(scaler, tuple(value["weights"]), value["intercept"]), list(value["columns"])
+    if value.get("dealt"):
+        return DealtForest.load(spark, f"{path.rstrip('/')}/trees"), list(value["columns"])
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(f"{path.rstrip('/')}/stages"), list(value["columns"])

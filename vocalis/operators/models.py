@@ -13,11 +13,13 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.operators import metrics
+from vocalis.operators import forest, metrics
 from vocalis.schemas import feature_set
 
 #: Groups of a forest's trees that grow at the same time, and bytes of features in a partition for them.
 FOREST_GROUPS, FOREST_PARTITION_BYTES = 8, 32 << 20
+#: Nodes that the driver holds; a forest that may get more of them grows in tasks.
+FOREST_DRIVER_NODES = 20_000
 
 
 @dataclass(frozen=True)
@@ -54,14 +56,22 @@ class LinearModel:
         return df.withColumn("score", total).withColumn("pred", (F.col("score") > 0).cast("int"))
 
 
-def class_weights(df: DataFrame, label: str) -> dict[int, float]:
+def class_sizes(df: DataFrame, label: str) -> dict[int, int]:
     sizes = {int(r[0]): r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if set(sizes) != {0, 1}:
         raise ValueError(f"both classes are needed, found {sorted(sizes)}")
+    return sizes
+
+
+def _balanced(sizes: dict[int, int]) -> dict[int, float]:
     n = sum(sizes.values())
     return {k: n / (2 * v) for k, v in sizes.items()}
 
 
+def class_weights(df: DataFrame, label: str) -> dict[int, float]:
+    return _balanced(class_sizes(df, label))
+
+
 def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: float = 1.0, steps: int = 100, tolerance: float = 1e-6) -> LinearModel:
     """Minimise |w|^2/2 + c * sum of weighted squared hinges, the intercept being regularised like a weight.
 
@@ -123,16 +133,20 @@ def linear_svm(df: DataFrame, columns: list[str], label: str = "label_id", c: fl
 
 
 def random_forest(df: DataFrame, columns: list[str], label: str = "label_id", trees: int = 200, depth: int = 30, seed: int = 1337):
-    """A fitted pyspark.ml pipeline with balanced weights; score is the probability of class 1.
+    """A fitted forest with balanced weights; score is the probability of class 1.
 
-    Groups of trees grow at the same time, each with a seed of its own, over few partitions: each partition
+    A forest whose nodes, by its rows and depth, may be more than the driver holds is a forest.DealtForest. Others are a
+    pyspark.ml pipeline, which has all nodes on the driver. There, groups of trees grow at the same time, each with a seed of its own, over few partitions: each partition
     makes and sends a histogram of all bins for every node, however few rows the node has.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    weight = class_weights(df, label)
+    sizes = class_sizes(df, label)
+    weight = _balanced(sizes)
+    if trees * min(2 ** (depth + 1), 2 * sum(sizes.values())) > FOREST_DRIVER_NODES:
+        return forest.fit(df, columns, label, weight, trees, depth, seed)
     weighed = df.withColumn("_weight", F.when(F.col(label) == 1, weight[1]).otherwise(weight[0]))
     assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="skip")
     rows = assembler.transform(weighed).select(label, "_weight", "_features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -154,13 +168,15 @@ def random_forest(df: DataFrame, columns: list[str], label: str = "label_id", tr
     for i, t in enumerate(grown):
         own[i] = t
     first = parts[0]
-    forest = RandomForestClassificationModel(jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid, own, first.numFeatures, first.numClasses))
-    first._copyValues(forest)._set(numTrees=trees)
-    forest._transfer_params_to_java()
-    return PipelineModel([assembler, forest])
+    whole = RandomForestClassificationModel(jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(first.uid, own, first.numFeatures, first.numClasses))
+    first._copyValues(whole)._set(numTrees=trees)
+    whole._transfer_params_to_java()
+    return PipelineModel([assembler, whole])
 
 
 def forest_score(model, df: DataFrame) -> DataFrame:
+    if isinstance(model, forest.DealtForest):
+        return forest.score(model, df)
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
@@ -170,7 +186,7 @@ def forest_score(model, df: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, model: str, features: str, label: str = "label_id") -> DataFrame:
     """One result row, computed here: all metrics read labels, scores and predictions that are kept meanwhile, so the model scores once."""
     # Cut from the plan before, which each of some fifty scans of kept rows would carry.
-    got = scored.select(F.col(label).alias("y"), "score", "pred").localCheckpoint()
+    got = forest.kept(scored.select(F.col(label).alias("y"), "score", "pred"))
     row = metrics.binary_metrics(metrics.confusion(got)).select("accuracy", "precision", "recall", "f1")
     out = row.join(metrics.roc_auc(got)).join(metrics.equal_error_rate(got)).select(F.lit(model).alias("model"), F.lit(features).alias("features"), "*")
     return scored.sparkSession.createDataFrame(out.collect(), out.schema)
